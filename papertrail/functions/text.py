@@ -100,10 +100,11 @@ def authors_tokens(authors, field: str) -> Column:
 
 # --- TXT-08 / TXT-09: country mentions (case-sensitive substring) -------------
 def country_counts(authors, countries=K.COUNTRIES, field: str = "org") -> list[Column]:
-    return [F.coalesce(F.size(F.filter(_c(authors),
-                                       lambda a, c=c: F.coalesce(a[field], F.lit("")).contains(c))),
-                       F.lit(0)).cast("long")
-            for c in countries]
+    def mentions(country: str) -> Column:
+        return F.coalesce(F.size(F.filter(
+            _c(authors), lambda a: F.coalesce(a[field], F.lit("")).contains(country))),
+            F.lit(0)).cast("long")
+    return [mentions(c) for c in countries]
 
 
 def countries_present(counts: list[Column]) -> Column:
