@@ -10,6 +10,7 @@ Characters are UTF-16 units (names outside the BMP are not expected).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,50 +25,69 @@ def _chars(s: Column) -> Column:
     return F.split(s, "")
 
 
-def jaro(s1, s2) -> Column:
-    s1, s2 = _c(s1), _c(s2)
-    n1, n2 = F.length(s1), F.length(s2)
-    c1, c2 = _chars(s1), _chars(s2)
-    d = F.floor(F.greatest(n1, n2) / 2).cast("int") - 1
+def bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
+
+    Column trees are inlined wherever they are referenced, so a value used
+    several times would otherwise be recomputed each time."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def _jaro_state(s1: Column, s2: Column) -> Column:
+    """Greedy matching of s1 against s2; returns the final accumulator."""
+    n2 = F.length(s2)
+    init = F.struct(_chars(s1).alias("c1"), _chars(s2).alias("c2"),
+                    (F.floor(F.greatest(F.length(s1), n2) / 2).cast("int") - 1).alias("d"),
+                    F.array_repeat(F.lit(False), n2).alias("used"),
+                    F.array().cast("array<string>").alias("m1"))
     empty_int = F.array().cast("array<int>")
 
     def step(acc, i):
-        lo = F.greatest(F.lit(0), i - d)
-        hi = F.least(i + d, n2 - 1)
+        lo = F.greatest(F.lit(0), i - acc["d"])
+        hi = F.least(i + acc["d"], F.size(acc["c2"]) - 1)
         window = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(empty_int)
-        ch = c1[i]
-        hit = F.filter(window, lambda j: (c2[j] == ch) & ~acc["used"][j])
-        j = F.element_at(hit, 1)
-        used = F.when(j.isNull(), acc["used"]).otherwise(
-            F.transform(acc["used"], lambda u, k: u | (k == j)))
-        m1 = F.when(j.isNull(), acc["m1"]).otherwise(F.concat(acc["m1"], F.array(ch)))
-        return F.struct(used.alias("used"), m1.alias("m1"))
-
-    init = F.struct(F.array_repeat(F.lit(False), n2).alias("used"),
-                    F.array().cast("array<string>").alias("m1"))
-    st = F.aggregate(F.sequence(F.lit(0), n1 - 1), init, step)
-    m1 = st["m1"]
-    m2 = F.filter(c2, lambda ch, k: st["used"][k])
-    m = F.size(m1)
-    t = F.floor(F.size(F.filter(F.zip_with(m1, m2, lambda a, b: a != b), lambda x: x)) / 2)
-    score = (m / n1 + m / n2 + (m - t) / m) / 3.0
+        first = F.try_element_at(
+            F.filter(window, lambda j: (acc["c2"][j] == acc["c1"][i]) & ~acc["used"][j]), F.lit(1))
+
+        def take(j):
+            return F.when(j.isNull(), acc).otherwise(F.struct(
+                acc["c1"].alias("c1"), acc["c2"].alias("c2"), acc["d"].alias("d"),
+                F.transform(acc["used"], lambda u, k: u | (k == j)).alias("used"),
+                F.concat(acc["m1"], F.array(acc["c1"][i])).alias("m1")))
+        return bind(first, take)
+
+    def finish(acc):
+        m2 = F.filter(acc["c2"], lambda ch, k: acc["used"][k])
+        m = F.size(acc["m1"])
+        t = F.floor(F.size(F.filter(F.zip_with(acc["m1"], m2, lambda a, b: a != b),
+                                    lambda x: x)) / 2)
+        n1, n2_ = F.size(acc["c1"]), F.size(acc["c2"])
+        return F.when(m == 0, F.lit(0.0)).otherwise((m / n1 + m / n2_ + (m - t) / m) / 3.0)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(s1) - 1), init, step, finish)
+
+
+def jaro(s1, s2) -> Column:
+    s1, s2 = _c(s1), _c(s2)
+    n1, n2 = F.length(s1), F.length(s2)
     return (F.when(s1.isNull() | s2.isNull(), F.lit(None).cast("double"))
             .when((n1 == 0) & (n2 == 0), F.lit(1.0))
             .when((n1 == 0) | (n2 == 0), F.lit(0.0))
-            .otherwise(F.when(m == 0, F.lit(0.0)).otherwise(score)))
+            .otherwise(_jaro_state(s1, s2)))
 
 
 def common_prefix(s1, s2) -> Column:
     s1, s2 = _c(s1), _c(s2)
-    eq = F.zip_with(_chars(s1), _chars(s2), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    p = F.array_position(eq, False)
     n = F.least(F.length(s1), F.length(s2))
-    return F.when(n == 0, F.lit(0)).when(p == 0, n).otherwise(F.least(p - 1, n)).cast("int")
+    eq = F.zip_with(_chars(s1), _chars(s2), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return F.when(n == 0, F.lit(0)).otherwise(bind(
+        F.array_position(eq, False),
+        lambda p: F.when(p == 0, n).otherwise(F.least(p - 1, n)))).cast("int")
 
 
 def jaro_winkler(s1, s2, scaling: float = K.WINKLER_SCALE) -> Column:
-    j = jaro(s1, s2)
-    return j + common_prefix(s1, s2) * F.lit(scaling) * (F.lit(1.0) - j)
+    p = common_prefix(s1, s2)
+    return bind(jaro(s1, s2), lambda j: j + p * F.lit(scaling) * (F.lit(1.0) - j))
 
 
 def jaro_py(s1: str, s2: str) -> float:
@@ -99,3 +119,57 @@ def jaro_winkler_py(s1: str, s2: str, scaling: float = K.WINKLER_SCALE) -> float
             break
         p += 1
     return j + p * scaling * (1 - j)
+
+
+# --- Arrow-batched forms (the fast path for large pair tables) ------------------
+# Higher-order lambdas run interpreted in the JVM; for Jaro's nested loops an
+# Arrow batch through a small Python helper is several times faster.  Both
+# forms compute the same rule and are cross-checked by the tests.
+
+def _jw_series(a, b, scaling):
+    out = [None if (x is None or y is None) else jaro_winkler_py(x, y, scaling)
+           for x, y in zip(a, b)]
+    return pd.Series(out, dtype="float64")
+
+
+def _jaro_series(a, b):
+    return pd.Series([None if (x is None or y is None) else jaro_py(x, y)
+                      for x, y in zip(a, b)], dtype="float64")
+
+
+def jaro_arrow(s1, s2) -> Column:
+
+    @F.pandas_udf("double")
+    def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _jaro_series(a, b)
+    return _jaro(_c(s1), _c(s2))
+
+
+def jaro_winkler_arrow(s1, s2, scaling: float = K.WINKLER_SCALE) -> Column:
+
+    @F.pandas_udf("double")
+    def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _jw_series(a, b, scaling)
+    return _jw(_c(s1), _c(s2))
+
+
+def best_index_arrow(names, target, scaling: float = K.WINKLER_SCALE,
+                     lower_names: bool = True) -> Column:
+    """0-based index of the first name with the strictly highest JW score
+    against ``target``; NULL for an empty or NULL list."""
+
+    @F.pandas_udf("int")
+    def _best(ns: pd.Series, ts: pd.Series) -> pd.Series:
+        out = []
+        for arr, t in zip(ns, ts):
+            best, idx = -1.0, None
+            if arr is not None and t is not None:
+                for i, nm in enumerate(arr):
+                    if nm is None:
+                        continue
+                    s = jaro_winkler_py(nm.lower() if lower_names else nm, t, scaling)
+                    if s > best:
+                        best, idx = s, i
+            out.append(idx)
+        return pd.Series(out, dtype="Int32")
+    return _best(_c(names), _c(target))

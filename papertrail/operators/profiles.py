@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrail import constants as K
-from papertrail.functions.similarity import jaro_winkler
+from papertrail.functions.similarity import best_index_arrow, jaro_winkler, jaro_winkler_arrow
 from papertrail.functions.text import py_str
 
 TOPK_SALTS = 32
@@ -46,9 +46,15 @@ def distinct_elements(df: DataFrame, array_col: str, group: str = "author_id") -
 
 
 def best_match(authors: Column, target: Column, *, name_field: str = "name",
-               out_field: str = "org", lower_names: bool = True) -> Column:
+               out_field: str = "org", lower_names: bool = True, method: str = "arrow") -> Column:
     """SIM-03 / WIN-04: the ``out_field`` of the first author whose name has the
-    strictly highest Jaro-Winkler score against ``target``; NULL without authors."""
+    strictly highest Jaro-Winkler score against ``target``; NULL without authors.
+    Per row, no shuffle.  ``method='expr'`` keeps it all in JVM expressions."""
+    if method == "arrow":
+        idx = best_index_arrow(F.transform(authors, lambda a: a[name_field]), target,
+                               lower_names=lower_names)
+        hit = F.try_element_at(authors, idx + 1)[out_field]
+        return F.when(idx.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(hit, F.lit("")))
     init = F.struct(F.lit(-1.0).alias("s"), F.lit(None).cast("string").alias("v"))
 
     def step(acc, a):
@@ -61,14 +67,18 @@ def best_match(authors: Column, target: Column, *, name_field: str = "name",
     return F.aggregate(authors, init, step)["v"]
 
 
+def jw(a: Column, b: Column, method: str = "arrow") -> Column:
+    return jaro_winkler_arrow(a, b) if method == "arrow" else jaro_winkler(a, b)
+
+
 def with_matched_org(pp: DataFrame, authors_col: str = "authors", name_col: str = "name",
-                     out: str = "matched_org") -> DataFrame:
-    return pp.withColumn(out, best_match(F.col(authors_col), F.col(name_col)))
+                     out: str = "matched_org", method: str = "arrow") -> DataFrame:
+    return pp.withColumn(out, best_match(F.col(authors_col), F.col(name_col), method=method))
 
 
 def profile_similarity(pp: DataFrame, topk: DataFrame, value: Column, prefix: str,
                        guard: Column | None = None, top_as_str: bool = False,
-                       group: str = "author_id") -> DataFrame:
+                       group: str = "author_id", method: str = "arrow") -> DataFrame:
     """SIM-04..06 with JON-02: Jaro-Winkler of each row's value against the
     group's top-k values; max, min, mean and max-min, 0 when guarded out or
     when the group has no top values.  Returns (group, seq, 4 columns)."""
@@ -76,7 +86,7 @@ def profile_similarity(pp: DataFrame, topk: DataFrame, value: Column, prefix: st
                      (guard if guard is not None else F.lit(True)).alias("_ok"))
     top = topk.select(group, (py_str(F.col("value")) if top_as_str else F.col("value")).alias("_t"))
     j = rows.join(top, group, "left").withColumn(
-        "_s", F.when(F.col("_ok"), jaro_winkler(F.col("_v"), F.col("_t"))))
+        "_s", F.when(F.col("_ok"), jw(F.col("_v"), F.col("_t"), method)))
     agg = j.groupBy(group, "seq").agg(F.max("_s").alias("mx"), F.min("_s").alias("mn"),
                                       F.avg("_s").alias("av"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
