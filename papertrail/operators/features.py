@@ -84,19 +84,26 @@ def country_shares(df: DataFrame, n: int = len(K.COUNTRIES)) -> DataFrame:
                            for i in range(n)})
 
 
-def tabular_features(pp: DataFrame, countries=K.COUNTRIES) -> DataFrame:
+def stat_features(pp: DataFrame, countries=K.COUNTRIES, method: str = "arrow") -> DataFrame:
+    """Base text and author features (everything except the profile-similarity block)."""
+    d = P.with_matched_org(pp, method=method)
+    d = author_features(base_text_features(d), countries=countries)
+    return d.withColumn("year", F.col("year_value")).drop("year_value")
+
+
+def tabular_features(pp: DataFrame, countries=K.COUNTRIES, method: str = "arrow") -> DataFrame:
     """The full per-paper feature table: base text, author and profile-similarity
     features.  ``pp`` is profile rows joined with nested papers."""
-    d = P.with_matched_org(pp)
+    d = P.with_matched_org(pp, method=method)
     d = author_features(base_text_features(d), countries=countries)
     venues = P.top_k_values(d, "venue")
     years = P.top_k_values(d, "year")
     orgs = P.top_k_values(d, "matched_org", keep_null=False)
-    v = P.profile_similarity(d, venues, F.col("venue"), "venue",
+    v = P.profile_similarity(d, venues, F.col("venue"), "venue", method=method,
                              guard=F.coalesce(F.length("venue"), F.lit(0)) > 0)
-    y = P.profile_similarity(d, years, F.col("year"), "year", top_as_str=True,
+    y = P.profile_similarity(d, years, F.col("year"), "year", top_as_str=True, method=method,
                              guard=F.coalesce(F.length("year"), F.lit(0)) > 0)
-    o = P.profile_similarity(d, orgs, F.col("matched_org"), "org")
+    o = P.profile_similarity(d, orgs, F.col("matched_org"), "org", method=method)
     d = d.join(v, ["author_id", "seq"]).join(y, ["author_id", "seq"]).join(o, ["author_id", "seq"])
     return d.withColumn("year", F.col("year_value")).drop("year_value")
 

@@ -13,13 +13,54 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+ROUND_BIAS = 1e-9
+
+
+def stable_round_sql(sql: str) -> str:
+    """Rewrite every ``round(x, 6)`` into ``round(CAST(x AS DOUBLE) + 1e-9, 6)``,
+    the same boundary-safe rounding the Spark side applies (plans.common.r6):
+    values sitting exactly on a half-way point then round the same way in both
+    engines whatever their last-bit summation differences."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+            k += 1
+        inner = sql[j + 6:k]
+        d, cut = 0, -1
+        for m, ch in enumerate(inner):
+            d += ch == "("
+            d -= ch == ")"
+            if ch == "," and d == 0:
+                cut = m
+        if cut >= 0 and inner[cut + 1:].strip() == "6":
+            arg = stable_round_sql(inner[:cut])
+            out.append(sql[i:j] + f"round(CAST(({arg}) AS DOUBLE) + {ROUND_BIAS}, 6)")
+        else:
+            out.append(sql[i:j] + "round(" + stable_round_sql(inner) + ")")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = stable_round_sql(sql)
         return fn
     return deco
 
