@@ -55,3 +55,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, never reused folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/papertrail/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage (a lost executor recomputes from the written files, not from
+    the sources), keeps size statistics for the planner, and stops iterative
+    plans from growing."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
