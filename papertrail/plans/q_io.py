@@ -240,3 +240,20 @@ def flt_04(spark, sf):
 def jon_07(spark, sf):
     """Join of two node-feature sets by (author, paper), first set first."""
     return _guarded_pair(spark, sf)
+
+
+@register("snk_05_stream", _EDGE_SQL)
+def snk_05_stream(spark, sf):
+    """Incremental graph build: profile files arrive in three batches and a
+    Structured Streaming job (foreachBatch, key-based resume) appends graphs."""
+    from papertrail.streaming import incremental as INC
+    root = scratch_path(spark, "stream")
+    prof = D.profiles(spark, sf)
+    for i in range(3):
+        part = prof.filter(F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(3)) == i)
+        IO.write_profiles(part, f"{root}/in/batch={i}")
+    papers = INC.papers_by_string_id(D.papers(spark, sf))
+    INC.build_stream(spark, f"{root}/in/*", papers, f"{root}/out", f"{root}/ckpt")
+    _, e = IO.read_graph(spark, f"{root}/out")
+    return e.select(F.col("author_id").cast("long").alias("author_id"), F.col("src").cast("long").alias("src"),
+                    F.col("dst").cast("long").alias("dst"), "weight")

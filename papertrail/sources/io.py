@@ -191,10 +191,12 @@ GRAPH_BUCKETS = 64
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = GRAPH_BUCKETS,
                 mode: str = "append") -> None:
-    """Node and edge tables partitioned by an author bucket (append per batch)."""
+    """Node and edge tables partitioned by an author bucket (append per batch).
+    Edges are written first: the node table marks an author as complete, which
+    is what ``pending`` resumes from."""
     b = F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(buckets)).cast("int")
-    nodes.withColumn("bucket", b).write.mode(mode).partitionBy("bucket").parquet(f"{path}/nodes")
     edges.withColumn("bucket", b).write.mode(mode).partitionBy("bucket").parquet(f"{path}/edges")
+    nodes.withColumn("bucket", b).write.mode(mode).partitionBy("bucket").parquet(f"{path}/nodes")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
