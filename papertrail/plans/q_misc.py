@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papertrail.operators import names as NM
 from papertrail.plans.common import r6
@@ -68,7 +69,7 @@ def opt_05(spark, sf):
 ACCENTED = "à-ÿ"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda c: "".join(ch for ch in unicodedata.normalize("NFD", c)
                                    if not unicodedata.combining(ch)))
