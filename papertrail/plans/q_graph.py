@@ -153,10 +153,18 @@ SELECT author_id, src, dst, arg_max(weight, p) AS weight, arg_max(kind, p) AS ki
 FROM typed GROUP BY author_id, src, dst"""
 
 
+def graph_input_table(spark, sf_dir):
+    """The graph input (one row per profile paper with its element arrays),
+    written once to the shared folder: every edge kind reads it."""
+    from papertrail.session import materialize
+    return materialize(graph_pp(spark, sf_dir).select(
+        "author_id", "seq", "paper_id", "label", "names", "orgs", "keywords", "venue"), "graph_input")
+
+
 @register("grf_06", _MERGE_SQL)
 def grf_06(spark, sf_dir):
     """All edge kinds merged; the highest-priority kind sets the weight."""
-    typed = G.typed_edges(graph_pp(spark, sf_dir), subset_above=SUBSET_ABOVE)
+    typed = G.typed_edges(graph_input_table(spark, sf_dir), subset_above=SUBSET_ABOVE)
     return G.merge_edges(typed)
 
 

@@ -262,3 +262,19 @@ def sim_jw_year_pairs(spark, sf):
     top = P.top_k_values(pp, "year").select("author_id", py_str(F.col("value")).alias("b"))
     pairs = pp.select("author_id", F.col("year").alias("a")).join(top, "author_id").select("a", "b").distinct()
     return pairs.select("a", "b", r6(jaro_winkler("a", "b")).alias("jw"))
+
+
+@register("set_03", sql_with(SQL_PROFILE) + """
+SELECT author_id, paper_id, 'train' AS part FROM profile WHERE paper_id IN
+  (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+UNION ALL SELECT author_id, paper_id, 'test' FROM profile WHERE paper_id IN
+  (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
+def set_03(spark, sf):
+    """Corpus union of the labelled part (finished/open orders) and the
+    unlabelled part (pending orders): one document per (author, paper)."""
+    pr = D.profiles(spark, sf).select("author_id", "paper_id")
+    st = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderstatus")
+    j = pr.join(st, "paper_id")
+    train = j.filter(F.col("o_orderstatus") != "P").select("author_id", "paper_id", F.lit("train").alias("part"))
+    test = j.filter(F.col("o_orderstatus") == "P").select("author_id", "paper_id", F.lit("test").alias("part"))
+    return train.unionByName(test)

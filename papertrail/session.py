@@ -18,6 +18,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Keep whole-stage codegen on for the wide feature tables (561 polynomial columns).
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
