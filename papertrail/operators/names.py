@@ -68,7 +68,9 @@ def edit_distance_pairs(left: DataFrame, right: DataFrame, k: int = 1, a: str =
                                               F.substring("b", st + sh + 1, ln).alias("t"))))
     kb = rb.select("b", "m", F.explode(F.array_compact(F.array(*b_keys))).alias("key")).distinct()
     cand = ka.join(kb, "key").select("a", "b").distinct()
-    short_a = la.filter(F.col("n") <= k)
-    short = short_a.join(rb, F.abs(F.col("n") - F.col("m")) <= k).select("a", "b")
+    # Strings too short to cut: equi-join on every length within k (no theta join).
+    short_a = la.filter(F.col("n") <= k).select(
+        "a", F.explode(F.sequence(F.col("n") - k, F.col("n") + k)).alias("m"))
+    short = short_a.join(rb, "m").select("a", "b")
     both = cand.unionByName(short)
     return both.withColumn("dist", F.levenshtein("a", "b")).filter(F.col("dist") <= k)

@@ -33,16 +33,16 @@ def src_01(spark, sf):
                     F.size("outliers").cast("long").alias("n_outliers"))
 
 
-@register("prj_01", PROFILE_SQL + """
+@register("prj_01", PROFILE_SQL + f"""
 SELECT CAST(author_id AS VARCHAR) AS author_id, CAST(paper_id AS VARCHAR) AS paper_id, label,
-  CAST(row_number() OVER (PARTITION BY author_id ORDER BY 1 - label, seq) AS BIGINT) AS rank FROM profile""")
+  CAST((1 - label) * {1 << 40} + (seq // {IO.CHUNK}) * {1 << 20}
+       + row_number() OVER (PARTITION BY author_id, seq // {IO.CHUNK}, label ORDER BY seq) - 1 AS BIGINT) AS seq
+FROM profile""")
 def prj_01(spark, sf):
-    """Labelled flatten (positives, then outliers) of the re-read profiles.
-    ``rank`` is computed here only to expose the order for the check."""
-    from pyspark.sql import Window
+    """Labelled flatten (positives, then outliers) of the re-read profiles; the
+    carried ``seq`` orders rows as the lists do (no window needed)."""
     f = IO.flatten_labelled(_profiles_back(spark, sf))
-    return f.select("author_id", "paper_id", "label",
-                    F.row_number().over(Window.partitionBy("author_id").orderBy("seq")).cast("long").alias("rank"))
+    return f.select("author_id", "paper_id", "label", "seq")
 
 
 @register("src_02", PROFILE_SQL + """
@@ -180,11 +180,13 @@ def src_08(spark, sf):
 
 @register("snk_05", _EDGE_SQL)
 def snk_05(spark, sf):
-    """Interrupted build resumed by key: a first run writes part of the authors,
-    the resume run builds only authors absent from the written node table."""
+    """Interrupted build resumed by key: a first run writes the authors of one
+    market segment, the resume run builds only authors absent from the written
+    node table."""
     pp = graph_pp(spark, sf)
     path = scratch_path(spark, "graph_resume")
-    first = pp.filter(F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(3)) == 0)
+    seg = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"), "c_mktsegment")
+    first = pp.join(seg.filter(F.col("c_mktsegment") == "BUILDING"), "author_id", "left_semi")
     IO.write_graph(G.nodes(first, []), G.coauthor_edges(first).select("author_id", "src", "dst", "weight"), path)
     todo = IO.pending(pp, path, spark)
     IO.write_graph(G.nodes(todo, []), G.coauthor_edges(todo).select("author_id", "src", "dst", "weight"), path)
@@ -244,13 +246,15 @@ def jon_07(spark, sf):
 
 @register("snk_05_stream", _EDGE_SQL)
 def snk_05_stream(spark, sf):
-    """Incremental graph build: profile files arrive in three batches and a
-    Structured Streaming job (foreachBatch, key-based resume) appends graphs."""
+    """Incremental graph build: profile files arrive in one batch per market
+    segment and a Structured Streaming job (foreachBatch, key-based resume)
+    appends graphs.  (The segment list is a handful of values.)"""
     from papertrail.streaming import incremental as INC
     root = scratch_path(spark, "stream")
-    prof = D.profiles(spark, sf)
-    for i in range(3):
-        part = prof.filter(F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(3)) == i)
+    seg = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"), "c_mktsegment")
+    prof = D.profiles(spark, sf).join(seg, "author_id")
+    for i, s in enumerate(r.c_mktsegment for r in seg.select("c_mktsegment").distinct().collect()):
+        part = prof.filter(F.col("c_mktsegment") == s).drop("c_mktsegment")
         IO.write_profiles(part, f"{root}/in/batch={i}")
     papers = INC.papers_by_string_id(D.papers(spark, sf))
     INC.build_stream(spark, f"{root}/in/*", papers, f"{root}/out", f"{root}/ckpt")
