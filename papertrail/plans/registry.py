@@ -54,11 +54,49 @@ def stable_round_sql(sql: str) -> str:
         i = k + 1
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``papertrail`` importable by Python workers (Arrow UDFs, mapInPandas)
+    wherever they run: zip the package once per application and add it with
+    ``addPyFile`` (executors fetch it from the driver)."""
+    import os
+    import tempfile
+    import zipfile
+
+    import papertrail
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(papertrail.__file__))
+    fd, zpath = tempfile.mkstemp(prefix="papertrail-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
+def _shipped(fn: QueryFn) -> QueryFn:
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = _shipped(fn)
         if sql is not None:
             ORACLES[name] = stable_round_sql(sql)
         return fn
