@@ -17,7 +17,9 @@ gives no rows; a null id stays null; other columns are not read.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +37,17 @@ NODES = 4_000
 FILLINGS = 6
 RANKED = 50_000
 #: Distinct stretches of visible text that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 LONG_WORD = 256
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """ids of texts; no match of the split pattern crosses white space, so equal words are encoded once."""
 
@@ -61,7 +70,7 @@ class Encoder:
         for i in range(0, len(todo), 20_000):
             part = todo[i:i + 20_000]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+            self.known.update((w, _packed(e.ids)) for w, e in zip(part, got))
         out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
         for w in todo:
             if len(w) > LONG_WORD:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from papertrail.llm import bpe_codec, cws, packing, quality, secret_scan, token_counts
+from papertrail.llm import (bpe_codec, cws, packing, quality, secret_scan, simhash, suffix_dedup,
+                            token_counts)
 from papertrail.sources.driver import table
 
 QUERIES = {}
@@ -22,6 +23,16 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_bpe_codec(spark, sf_dir):
     return bpe_codec.bpe_round_trip(table(spark, sf_dir, "documents"),
