@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from papertrail.llm import (bpe_codec, cws, packing, quality, secret_scan, simhash, suffix_dedup,
+from papertrail.llm import (bpe_codec, cws, ngram_lm, packing, quality, secret_scan, simhash, suffix_dedup,
                             token_counts)
 from papertrail.sources.driver import table
 
@@ -23,6 +23,14 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op2_ngram_lm(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 @register
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
