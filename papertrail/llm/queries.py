@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from papertrail.llm import (bpe_codec, cws, ngram_lm, packing, quality, secret_scan, simhash, suffix_dedup,
-                            token_counts)
+from papertrail.llm import (bm25, bpe_codec, cws, ngram_lm, packing, quality, secret_scan, simhash,
+                            suffix_dedup, token_counts)
 from papertrail.sources.driver import table
 
 QUERIES = {}
@@ -62,6 +62,12 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register
+def op9_bm25_topk(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return bm25.search(documents, documents.where(F.col("doc_id") % 100 == 0))
+
+
 def fold():
     """crc32 of the id as text, mod 4."""
     return F.crc32(F.col("doc_id").cast("string")) % 4
