@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -19,15 +20,20 @@ CHUNK = 1 << 21
 
 
 def packed(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    sink = io.BytesIO()
-    np.savez(sink, **arrays)
-    return bytes(pa.compress(sink.getvalue(), codec="zstd", asbytes=True)) + len(sink.getvalue()).to_bytes(8, "little")
+    """One-dimensional arrays as one compressed blob."""
+    head = json.dumps([[k, a.dtype.str, a.nbytes] for k, a in arrays.items()]).encode()
+    raw = len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> dict[str, np.ndarray]:
-    raw = pa.decompress(blob[:-8], decompressed_size=int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True)
-    return dict(np.load(io.BytesIO(raw)))
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for name, kind, size in json.loads(raw[4:at]):
+        out[name] = np.frombuffer(raw[at:at + size], kind)
+        at += size
+    return out
 
 
 def rows(blob: bytes) -> pa.Table:

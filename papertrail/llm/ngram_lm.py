@@ -261,7 +261,7 @@ def _answers(table: DataFrame, order: int, discount: float, buckets: int, parts:
                             held, size = np.unique(context[s], return_counts=True)
                             low = (word[s] & _LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                             blobs.append(chunks.packed(context=held, size=size.astype(np.int32),
-                                                       word=np.ascontiguousarray(low), count=count[s].astype(np.int32)))
+                                                       word=low.ravel(), count=count[s].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some * order + n - 1, pa.int64()), pa.array([chunk] * len(some), pa.int64()),
                          pa.array(blobs, pa.binary())], names=["bucket", "chunk", "grams"])
@@ -276,7 +276,7 @@ def _answers(table: DataFrame, order: int, discount: float, buckets: int, parts:
     def successors(rows):
         got = [chunks.unpacked(r["grams"]) for r in rows]
         context = np.concatenate([np.repeat(g["context"], g["size"]) for g in got])
-        six = np.concatenate([g["word"] for g in got])
+        six = np.concatenate([g["word"] for g in got]).reshape(-1, 6)
         word = np.zeros((len(six), 8), np.uint8)
         word[:, :6] = six
         word = word.view("<u8").ravel()
@@ -297,7 +297,7 @@ def _answers(table: DataFrame, order: int, discount: float, buckets: int, parts:
             level.close()
         of = np.empty(len(by), np.int64)
         of[by] = np.cumsum(new) - 1
-        cuts = np.cumsum([len(g["word"]) for g in got])[:-1]
+        cuts = np.cumsum([len(g["count"]) for g in got])[:-1]
         return [chunks.packed(successor=x, backoff=y) for x, y in zip(np.split(a[of], cuts), np.split(b[of], cuts))]
 
     def judge(batches):
