@@ -195,11 +195,14 @@ class Chunk:
         rows = chunks.rows(data)
         self.doc = rows.column("doc_id").combine_chunks()
         self.train = np.array(rows.column("train").to_pylist(), bool)
-        found = [t.encode().lower().split() for t in rows.column("text").to_pylist()]
-        self.sizes = np.array([len(f) + 1 for f in found], np.int64)  # with the end
         number: dict[bytes, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number)) for f in found for w in f), np.int64,
-                           int(self.sizes.sum()) - len(found))
+        each = []  # a text's words go as soon as they are numbered
+        for t in rows.column("text").to_pylist():
+            found = t.encode().lower().split()
+            each.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        self.sizes = np.array([len(f) + 1 for f in each], np.int64)  # with the end
+        flat = np.concatenate([np.zeros(0, np.int32), *each])
+        del rows, each
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
         ends = np.cumsum(self.sizes) - 1
         self.word = np.empty(int(self.sizes.sum()), np.uint64)
@@ -332,7 +335,7 @@ def score(df: DataFrame, training: Column, order: int = ORDER, discount: float =
     buckets = parts
     rows = U.texts(df, id_col, text_col).withColumn("train", F.coalesce(training, F.lit(False)))
     table = chunks.chunked(rows, "doc_id", "text", parts, CHUNK)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a chunk is a row
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a chunk is a row
     answers = materialize(_answers(table, order, discount, buckets, parts), "answers")
     total = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     tokens, vocabulary = total["n"], total["v"]
