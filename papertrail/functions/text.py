@@ -140,10 +140,10 @@ def py_str(c) -> Column:
     return F.coalesce(_c(c).cast("string"), F.lit("None"))
 
 
-def compose_text(title, abstract, keywords, venue, year, limit: int = K.ABSTRACT_CHARS) -> Column:
-    """title + ' ' + abstract (tag included, cut to `limit` chars) + keywords + venue + year."""
+def compose_text(title, abstract, keywords, venue, year, limit: int | None = None) -> Column:
+    """title + ' ' + abstract (tag included, cut to `limit` chars if one is given) + keywords + venue + year."""
     return F.concat_ws(" ", tagged("title", title),
-                       F.substring(tagged("abstract", abstract), 1, limit),
+                       tagged("abstract", abstract) if limit is None else F.substring(tagged("abstract", abstract), 1, limit),
                        tagged_keywords(keywords),
                        F.concat(F.lit("venue:"), py_str(venue)),
                        F.concat(F.lit("year:"), py_str(year)))

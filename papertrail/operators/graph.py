@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from papertrail import constants as K
 from papertrail.functions import text as T
-from papertrail.operators.skew import HOT_ROWS, MAX_SALT, SALT_MIN_BYTES, salted_join
+from papertrail.operators.skew import HOT_ROWS, salted_join
 
 PAIR_KEY = ["author_id", "src_seq", "src", "dst_seq", "dst"]
 EDGE_COLS = ["author_id", "src", "dst", "weight"]
@@ -34,15 +34,14 @@ def memberships(pp: DataFrame, elements, group: str = "author_id") -> DataFrame:
             .filter(F.col("elem").isNotNull()))
 
 
-def shared_counts(members: DataFrame, hot_rows: int = HOT_ROWS,
-                  max_salt: int = MAX_SALT, min_bytes: int = SALT_MIN_BYTES) -> DataFrame:
+def shared_counts(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """JON-03: for every ordered pair of distinct rows of one author that share
     at least one element, the number of shared elements."""
     left = members.select("author_id", "elem", F.col("seq").alias("src_seq"),
                           F.col("paper_id").alias("src"))
     right = members.select("author_id", "elem", F.col("seq").alias("dst_seq"),
                            F.col("paper_id").alias("dst"))
-    pairs = salted_join(left, right, ["author_id", "elem"], ["src_seq"], hot_rows, max_salt, min_bytes)
+    pairs = salted_join(left, right, ["author_id", "elem"], ["src_seq"], hot_rows)
     return (pairs.filter(F.col("src_seq") != F.col("dst_seq"))
             .groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("shared")))
 
@@ -99,8 +98,7 @@ def venue_cliques(pp: DataFrame, venue_col: str = "venue") -> DataFrame:
 
 
 # --- GRF-02 / JON-05: token-subset co-author pairs -----------------------------
-def subset_pair_counts(pp: DataFrame, names_col: str = "names", hot_rows: int = HOT_ROWS,
-                       max_salt: int = MAX_SALT, min_bytes: int = SALT_MIN_BYTES) -> DataFrame:
+def subset_pair_counts(pp: DataFrame, names_col: str = "names", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number of (i, j) position pairs whose name token set of row A is contained
     in the token set of row B.  Exact blocking: a subset must contain its
     smallest token, so A's names are keyed by array_min(tokens) and B's names
@@ -116,7 +114,7 @@ def subset_pair_counts(pp: DataFrame, names_col: str = "names", hot_rows: int =
                          F.col("pos").alias("dst_pos"), F.col("toks").alias("dst_toks"),
                          F.explode("toks").alias("tok"))
     pairs = salted_join(left, right, ["author_id", "tok"], ["src_seq", "src_pos"],
-                        hot_rows, max_salt, min_bytes)
+                        hot_rows)
     return (pairs.filter((F.col("src_seq") != F.col("dst_seq"))
                          & (F.size(F.array_except("src_toks", "dst_toks")) == 0))
             .groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("shared")))
@@ -150,7 +148,7 @@ def split_coauthor_edges(pp: DataFrame, names_col: str = "names",
 
 
 # --- FLT-01: drop oversized profiles ----------------------------------------
-def drop_large_profiles(pp: DataFrame, max_papers: int = K.MAX_PROFILE_PAPERS) -> DataFrame:
+def drop_large_profiles(pp: DataFrame, max_papers: int) -> DataFrame:
     return (with_profile_size(pp).filter(F.col("n_papers") <= max_papers).drop("n_papers"))
 
 

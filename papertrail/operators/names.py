@@ -16,14 +16,15 @@ def transliterate(df: DataFrame, col: str, reading: DataFrame, char_class: str =
     joined by one space.  Work is done once per distinct value: items are
     exploded, looked up with an equi-join and re-assembled by position."""
     pat = f"[{char_class}]|[^{char_class}]+"
-    vals = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    items = vals.select("_v", F.posexplode(F.regexp_extract_all("_v", F.lit(pat), 0)).alias("pos", "item"))
+    vals = (df.select(F.sha2(col, 256).alias("_h"), F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+            .dropDuplicates(["_h"]))  # the hash, not the text, is the key of every shuffle
+    items = vals.select("_h", F.posexplode(F.regexp_extract_all("_v", F.lit(pat), 0)).alias("pos", "item"))
     looked = items.join(reading.select(F.col("ch").alias("item"), "reading"), "item", "left")
-    rebuilt = (looked.groupBy("_v")
+    rebuilt = (looked.groupBy("_h")
                .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("reading", "item").alias("t"))))
                     .alias("parts"))
-               .select("_v", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias(out)))
-    return df.join(rebuilt, df[col] == rebuilt["_v"], "left").drop("_v")
+               .select("_h", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias(out)))
+    return df.withColumn("_h", F.sha2(col, 256)).join(rebuilt, "_h", "left").drop("_h")
 
 
 def char_ratio(strings: Column) -> Column:
@@ -36,41 +37,20 @@ def char_ratio(strings: Column) -> Column:
 def edit_distance_pairs(left: DataFrame, right: DataFrame, k: int = 1, a: str = "a",
                         b: str = "b") -> DataFrame:
     """OPT-02: all (a, b) with levenshtein(a, b) <= k, exactly, without
-    comparing every pair.  Pigeonhole blocking: cut ``a`` into k+1 segments;
-    one of them must occur unchanged in ``b`` within k positions of its place,
-    so each b emits the substrings that could match and an equi-join on
-    (len(a), segment no, text) yields the candidates, which are then verified.
-    Strings shorter than k+1 characters are compared by length only (their
-    blocking key is the length)."""
-    la = left.select(F.col(a).alias("a")).distinct().withColumn("n", F.length("a"))
-    rb = right.select(F.col(b).alias("b")).distinct().withColumn("m", F.length("b"))
-
-    def seg_bounds(n: Column, i: int):
-        start = F.floor(n * i / (k + 1)).cast("int")
-        end = F.floor(n * (i + 1) / (k + 1)).cast("int")
-        return start, end - start
-
-    a_keys = []
-    for i in range(k + 1):
-        st, ln = seg_bounds(F.col("n"), i)
-        a_keys.append(F.struct(F.lit(i).alias("i"), F.col("n").alias("n"),
-                               F.substring("a", st + 1, ln).alias("t")))
-    ka = la.filter(F.col("n") > k).select("a", "n", F.explode(F.array(*a_keys)).alias("key"))
-    # b: for every possible length of a and every segment, substrings at shifted starts.
-    b_keys = []
-    for dn in range(-k, k + 1):
-        n = F.col("m") + dn
-        for i in range(k + 1):
-            st, ln = seg_bounds(n, i)
-            for sh in range(-k, k + 1):
-                b_keys.append(F.when((n > k) & (st + sh >= 0) & (st + sh + ln <= F.col("m")),
-                                     F.struct(F.lit(i).alias("i"), n.alias("n"),
-                                              F.substring("b", st + sh + 1, ln).alias("t"))))
-    kb = rb.select("b", "m", F.explode(F.array_compact(F.array(*b_keys))).alias("key")).distinct()
+    comparing every pair.  Two strings within k edits share a string that each
+    becomes by losing at most k characters, so the strings left by every such
+    loss are the join keys; candidates are then verified.  Keys are long and
+    mostly a string's own, however many strings share a beginning."""
+    def losses(df, name):
+        keys = F.array(F.col(name))
+        for _ in range(k):
+            shorter = F.flatten(F.transform(keys, lambda x: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
+                lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))))
+            keys = F.array_distinct(F.concat(keys, shorter))
+        return df.select(name, F.explode(keys).alias("key"))
+
+    ka = losses(left.select(F.col(a).alias("a")).distinct(), "a")
+    kb = losses(right.select(F.col(b).alias("b")).distinct(), "b")
     cand = ka.join(kb, "key").select("a", "b").distinct()
-    # Strings too short to cut: equi-join on every length within k (no theta join).
-    short_a = la.filter(F.col("n") <= k).select(
-        "a", F.explode(F.sequence(F.col("n") - k, F.col("n") + k)).alias("m"))
-    short = short_a.join(rb, "m").select("a", "b")
-    both = cand.unionByName(short)
-    return both.withColumn("dist", F.levenshtein("a", "b")).filter(F.col("dist") <= k)
+    return cand.withColumn("dist", F.levenshtein("a", "b")).filter(F.col("dist") <= k)

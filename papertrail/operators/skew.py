@@ -1,7 +1,7 @@
 """Hot-key splitting for equi-joins whose keys can be heavily skewed.
 
-A key with n rows on the probe side gets s = min(ceil(n / hot_rows), max_salt)
-salt values.  Probe rows pick one salt from a hash of their own id; build rows
+A key with n rows on the probe side gets s = ceil(n / hot_rows) salt values, however
+many rows it has; keys of up to hot_rows rows stay whole.  Probe rows pick one salt from a hash of their own id; build rows
 are replicated s times.  Only hot keys are listed in the salt table, which is
 therefore bounded by rows / hot_rows; the planner broadcasts it only when its
 measured size is under the broadcast threshold.
@@ -13,42 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 20_000
-MAX_SALT = 512
-# Below this estimated probe size no key can make one task unreasonably large,
-# so the plain join runs (AQE skew-join splitting still applies).
-SALT_MIN_BYTES = 1 << 30
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return None
-
-
-def salt_table(probe: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
-               max_salt: int = MAX_SALT) -> DataFrame:
+def salt_table(probe: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     freq = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (freq.select(*keys, F.least(F.ceil(F.col("_n") / F.lit(hot_rows)),
-                                       F.lit(max_salt)).cast("int").alias("_s"))
+    return (freq.select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_s"))
             .filter(F.col("_s") > 1))
 
 
 def salted_join(probe: DataFrame, build: DataFrame, keys: list[str], probe_id: list[str],
-                hot_rows: int = HOT_ROWS, max_salt: int = MAX_SALT,
-                min_bytes: int = SALT_MIN_BYTES) -> DataFrame:
+                hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Inner equi-join on ``keys`` with hot keys split across tasks.
 
-    Salting is size-checked like a broadcast: it is applied when the probe
-    side's estimated size reaches ``min_bytes`` (or the estimate is unknown).
-    ``hot_rows=None`` leaves skew to AQE's skew-join splitting alone."""
+    Hot keys are found by counting the probe side's rows.  ``hot_rows=None`` leaves skew to AQE's skew-join splitting alone."""
     if hot_rows is None:
         return probe.join(build, keys)
-    est = estimated_bytes(probe)
-    if est is not None and est < min_bytes:
-        return probe.join(build, keys)
-    salts = salt_table(probe, keys, hot_rows, max_salt)
+    salts = salt_table(probe, keys, hot_rows)
     p = (probe.join(salts, keys, "left")
          .withColumn("_salt", F.pmod(F.xxhash64(*probe_id), F.coalesce(F.col("_s"), F.lit(1))))
          .drop("_s"))

@@ -23,7 +23,7 @@ def _profiles_back(spark, sf, labelled=True):
 
 
 @register("src_01", PROFILE_SQL + f"""
-SELECT CAST(author_id AS VARCHAR) AS author_id, name, CAST(seq // {IO.CHUNK} AS INTEGER) AS part,
+SELECT CAST(author_id AS VARCHAR) AS author_id, name, CAST(seq // {IO.CHUNK} AS BIGINT) AS part,
   CAST(sum(label) AS BIGINT) AS n_normal, CAST(sum(1 - label) AS BIGINT) AS n_outliers
 FROM profile GROUP BY author_id, name, seq // {IO.CHUNK}""")
 def src_01(spark, sf):
@@ -35,7 +35,7 @@ def src_01(spark, sf):
 
 @register("prj_01", PROFILE_SQL + f"""
 SELECT CAST(author_id AS VARCHAR) AS author_id, CAST(paper_id AS VARCHAR) AS paper_id, label,
-  CAST((1 - label) * {1 << 40} + (seq // {IO.CHUNK}) * {1 << 20}
+  CAST((1 - label)::BIGINT * {1 << 62} + (seq // {IO.CHUNK}) * {1 << 20}
        + row_number() OVER (PARTITION BY author_id, seq // {IO.CHUNK}, label ORDER BY seq) - 1 AS BIGINT) AS seq
 FROM profile""")
 def prj_01(spark, sf):

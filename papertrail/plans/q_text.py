@@ -163,10 +163,10 @@ def txt_12(spark, sf):
         T.tagged_keywords("keywords").alias("t_keywords"))
 
 
-@register("txt_13", P_SQL + f"""
+@register("txt_13", P_SQL + """
 SELECT paper_id,
  'title:' || CASE WHEN title IS NULL OR title = '' THEN 'None' ELSE title END || ' ' ||
- substr('abstract:' || CASE WHEN abstract IS NULL OR abstract = '' THEN 'None' ELSE abstract END, 1, {K.ABSTRACT_CHARS})
+ 'abstract:' || CASE WHEN abstract IS NULL OR abstract = '' THEN 'None' ELSE abstract END
  || ' ' || 'keywords:' || CASE WHEN len(keywords) > 0 THEN array_to_string(keywords, ' ') ELSE 'None' END
  || ' venue:' || coalesce(venue, 'None') || ' year:' || coalesce(year, 'None') AS text FROM paper""")
 def txt_13(spark, sf):

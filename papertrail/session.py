@@ -18,8 +18,6 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Keep whole-stage codegen on for the wide feature tables (561 polynomial columns).
-    "spark.sql.codegen.maxFields": "1000",
 }
 
 
@@ -40,13 +38,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The value of ``spark.checkpoint.dir`` wins; only when it is unset (local
-    tests) a fresh private folder is created and registered.
+    The value of ``spark.checkpoint.dir`` wins.  A local session without it (tests) gets
+    a fresh private folder; on a cluster its absence is an error, since no other node
+    would see a folder made here.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         d = tempfile.mkdtemp(prefix="papertrail-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 CHUNK = 4096
 # seq of a flattened profile row: positives first, then part, then position.
-_LABEL_SHIFT = 1 << 40
+_LABEL_SHIFT = 1 << 62
 _PART_SHIFT = 1 << 20
 
 AUTHOR_FIELD = T.StructType([T.StructField("name", T.StringType()),
@@ -47,7 +47,7 @@ def read_profiles_object(spark: SparkSession, path: str, labelled: bool = True)
     raw = spark.read.text(path, wholetext=True)
     ex = raw.select(F.explode(F.from_json("value", m)).alias("author_id", "p"))
     cols = ["normal_data", "outliers"] if labelled else ["papers"]
-    return ex.select("author_id", F.col("p.name").alias("name"), F.lit(0).alias("part"),
+    return ex.select("author_id", F.col("p.name").alias("name"), F.lit(0).cast("long").alias("part"),
                      *[F.col(f"p.{c}").alias(c) for c in cols])
 
 
@@ -55,7 +55,7 @@ def read_profiles_lines(spark: SparkSession, path: str, labelled: bool = True,
                         key_type: str = "string") -> DataFrame:
     """Splittable layout: one JSON line per (author_id, part)."""
     arr = "normal_data array<string>, outliers array<string>" if labelled else "papers array<string>"
-    return spark.read.schema(f"author_id {key_type}, name string, part int, {arr}").json(path)
+    return spark.read.schema(f"author_id {key_type}, name string, part long, {arr}").json(path)
 
 
 def flatten_labelled(nested: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def flatten_labelled(nested: DataFrame) -> DataFrame:
                              F.lit(label).alias("label"), "part")
     rows = side("normal_data", 1).unionByName(side("outliers", 0))
     return rows.select("author_id", "name", "paper_id", "label",
-                       ((1 - F.col("label")) * F.lit(_LABEL_SHIFT) + F.col("part") * F.lit(_PART_SHIFT)
+                       ((1 - F.col("label")).cast("long") * F.lit(_LABEL_SHIFT) + F.col("part").cast("long") * F.lit(_PART_SHIFT)
                         + F.col("pos")).cast("long").alias("seq"))
 
 
@@ -74,13 +74,13 @@ def flatten_unlabelled(nested: DataFrame) -> DataFrame:
     """PRJ-02: one row per listed paper."""
     return nested.select("author_id", "name", F.posexplode("papers").alias("pos", "paper_id"), "part") \
         .select("author_id", "name", "paper_id",
-                (F.col("part") * F.lit(_PART_SHIFT) + F.col("pos")).cast("long").alias("seq"))
+                (F.col("part").cast("long") * F.lit(_PART_SHIFT) + F.col("pos")).cast("long").alias("seq"))
 
 
 def write_profiles(flat: DataFrame, path: str, labelled: bool = True, chunk: int = CHUNK) -> None:
     """Write (author_id, name, paper_id, [label], seq) as JSON lines, at most
     ``chunk`` papers per record, lists ordered by seq."""
-    part = F.floor(F.col("seq") / F.lit(chunk)).cast("int")
+    part = F.expr(f"seq div {chunk}")
     g = flat.withColumn("part", part).groupBy("author_id", "name", "part")
     if labelled:
         agg = g.agg(F.sort_array(F.collect_list(F.struct("seq", "paper_id", "label"))).alias("l"))

@@ -23,7 +23,7 @@ def test_salted_join_equals_plain(spark):
     rows = [(1, i, 100 + i, ["hub", f"n{i % 3}"], [], [], None) for i in range(12)]
     pp = _pp(spark, rows)
     plain = sorted(map(tuple, G.shared_counts(G.memberships(pp, F.col("names")), hot_rows=10**9).collect()))
-    salted = sorted(map(tuple, G.shared_counts(G.memberships(pp, F.col("names")), hot_rows=2, max_salt=5, min_bytes=0).collect()))
+    salted = sorted(map(tuple, G.shared_counts(G.memberships(pp, F.col("names")), hot_rows=2).collect()))
     assert plain == salted and len(plain) == 12 * 11
 
 
@@ -65,7 +65,7 @@ def test_drop_edgeless(spark):
 def test_generic_salted_join(spark):
     l = spark.createDataFrame([(1, i) for i in range(50)], "k long, i long")
     r = spark.createDataFrame([(1, j) for j in range(3)], "k long, j long")
-    assert salted_join(l, r, ["k"], ["i"], hot_rows=7, max_salt=4, min_bytes=0).count() == 150
+    assert salted_join(l, r, ["k"], ["i"], hot_rows=7).count() == 150
 
 
 def test_edit_distance_blocking_exact(spark):

@@ -54,3 +54,29 @@ def test_profile_chunks(spark):
     f = IO.flatten_labelled(back)
     assert sorted(int(r.paper_id) for r in f.collect()) == list(range(10))
     assert [r.label for r in f.orderBy("seq").collect()] == [1] * 5 + [0] * 5
+
+
+def test_flatten_keeps_order_at_large_seq(spark, tmp_path):
+    """Round trip of profile rows whose seq is past 2^23, 2^32 and 2^43: order and labels stay apart."""
+    from papertrail.sources import io as IO
+    seqs = [0, 1 << 23, (1 << 23) + 1, 1 << 32, 1 << 43]
+    rows = [("a", "n", str(i), i % 2, s) for i, s in enumerate(seqs)]
+    flat = spark.createDataFrame(rows, "author_id string, name string, paper_id string, label int, seq long")
+    IO.write_profiles(flat, str(tmp_path / "p"))
+    back = IO.flatten_labelled(IO.read_profiles_lines(spark, str(tmp_path / "p"))).collect()
+    got = sorted(back, key=lambda r: r["seq"])
+    assert [r["paper_id"] for r in got] == ["1", "3", "0", "2", "4"]
+    assert len({r["seq"] for r in got}) == len(seqs)
+
+
+def test_edit_distance_matches_brute_force_on_a_common_prefix(spark):
+    from pyspark.sql import functions as F
+
+    from papertrail.operators import names as N
+    words = [f"supplier#{i:04d}" for i in range(60)] + ["", "a", "ab", "ba"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for k in (1, 2):
+        got = {(r["a"], r["b"]) for r in N.edit_distance_pairs(
+            df.withColumnRenamed("w", "a"), df.withColumnRenamed("w", "b"), k=k).collect()}
+        cross = df.crossJoin(df.withColumnRenamed("w", "v")).where(F.levenshtein("w", "v") <= k).collect()
+        assert got == {(r["w"], r["v"]) for r in cross}
