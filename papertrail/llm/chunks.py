@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from papertrail.session import scratch_path
 
@@ -41,12 +40,11 @@ def rows(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.BufferReader(blob)).read_all()
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str, buckets: int, size_of: int = CHUNK) -> DataFrame:
-    """chunk, data: the rows of ``df`` (and _doc, _text) in blobs of about ``size_of`` characters, bucketed by chunk in the shared
+def chunked(df: DataFrame, text_col: str, buckets: int, size_of: int = CHUNK) -> DataFrame:
+    """chunk, data: the rows of ``df`` in blobs of about ``size_of`` characters, bucketed by chunk in the shared
     folder."""
     spark = df.sparkSession
-    keyed = df.withColumns({"_doc": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string")})
-    text_at = keyed.columns.index("_text")
+    text_at = df.columns.index(text_col)
 
     def run(batches):
         held, size = [], 0
@@ -76,7 +74,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str, buckets: int, size_of: in
             yield blob()
 
     name = f"papertrail_chunks_{uuid.uuid4().hex[:12]}"
-    chunks = keyed.mapInArrow(run, "chunk long, data binary")
+    chunks = df.mapInArrow(run, "chunk long, data binary")
     (chunks.write.format("parquet").option("compression", "none").option("path", scratch_path(spark, "chunks"))
      .bucketBy(buckets, "chunk").saveAsTable(name))
     return spark.table(name)

@@ -334,7 +334,7 @@ def score(df: DataFrame, training: Column, order: int = ORDER, discount: float =
     parts = U.parallelism(df)
     buckets = parts
     rows = U.texts(df, id_col, text_col).withColumn("train", F.coalesce(training, F.lit(False)))
-    table = chunks.chunked(rows, "doc_id", "text", parts, CHUNK)
+    table = chunks.chunked(rows, "text", parts, CHUNK)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a chunk is a row
     answers = materialize(_answers(table, order, discount, buckets, parts), "answers")
     total = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()

@@ -36,6 +36,8 @@ KINDS = ["assign", "access", "hex", "random"]
 #: Runs that the models judge, their least length, and the least mean log-likelihood ratio (nats a character).
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 THRESHOLD = 1.2
+#: Weight of single-character frequencies in each row of a chain.
+PRIOR = 8.0
 
 #: Characters of the chains; class 0 is every other byte and the border of a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -71,8 +73,10 @@ def log_ratio(pairs: dict[tuple[bool, int], int]) -> np.ndarray:
         for (label, pair), count in pairs.items():
             if label == secret:
                 n[divmod(pair, STATES)] = max(count, 0)
-        n = n[:, 1:] + 0.5  # from the border too, never to it
-        logs.append(np.log(n / n.sum(axis=1, keepdims=True)))
+        n = n[:, 1:]  # from the border too, never to it
+        single = n.sum(axis=0) + 0.5
+        mixed = n + PRIOR * single / single.sum()  # a rare predecessor falls back on single characters
+        logs.append(np.log(mixed / mixed.sum(axis=1, keepdims=True)))
     out = np.zeros((STATES, STATES))
     out[:, 1:] = logs[0] - logs[1]
     return out

@@ -273,7 +273,8 @@ def keep_one(df: DataFrame, bits: int = BITS, shingle: int = SHINGLE, id_col: st
     first = (rows.join(classes.select("fp", "root"), "fp").groupBy("root")
              .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"))
              .select(F.col("m.doc_id").alias("_doc"), F.col("m.text_hash").alias("_hash")).distinct())
-    keyed = df.withColumns({"_doc": F.col(id_col).cast("long"),
-                            "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+                      F.col(id_col).cast("long").alias("_doc"),
+                      F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
     on = keyed["_doc"].eqNullSafe(first["_doc"]) & (keyed["_hash"] == first["_hash"])
-    return keyed.join(first, on, "left_semi").dropDuplicates(["_doc", "_hash"]).select(*df.columns)
+    return keyed.join(first, on, "left_semi").dropDuplicates(["_doc", "_hash"]).select("row.*")
