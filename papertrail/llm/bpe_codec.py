@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from papertrail.llm import _util as U
 
 #: Words per recursive query, bytes of words per query, and distinct pieces that a worker remembers.
-QUERY_WORDS = 50_000
-QUERY_BYTES = 1 << 20
-REMEMBERED = 300_000
+QUERY_WORDS = 100_000
+QUERY_BYTES = 1 << 21
+REMEMBERED = 700_000
+#: Characters of text whose words are asked together.
+GROUP_CHARS = 1 << 23
 LONG_PIECE = 256
 
 ENCODE_SQL = """
@@ -135,18 +137,20 @@ class Codec:
 
     def round_trip(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """ids and decoded bytes of each text."""
-        cut = [U.pieces(t) for t in texts]
-        wanted = set().union(*cut) - self.known.keys() if cut else set()
+        every: set[str] = set()
+        for t in texts:
+            every.update(U.pieces(t))
+        wanted = every - self.known.keys()
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known = {"": (b"", b"")}
-            wanted = set().union(*cut) - {""}
+            wanted = every - {""}
         split = {p: [m.encode() for m in self.pattern.findall(p)] for p in wanted}
         done = self.words(list(dict.fromkeys(x for ws in split.values() for x in ws)))
         for p, ws in split.items():
             self.known[p] = (b"".join([done[x][0] for x in ws]), b"".join([done[x][1] for x in ws]))
         out = []
-        for c in cut:
-            both = list(map(self.known.__getitem__, c))
+        for t in texts:
+            both = list(map(self.known.__getitem__, U.pieces(t)))
             out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
         for p in wanted:
             if len(p) > LONG_PIECE:
@@ -154,6 +158,21 @@ class Codec:
         return out
 
 
+def grouped(batches, most: int = GROUP_CHARS):
+    """(ids column, texts) of successive batches together, of about ``most`` characters: a query has a fixed cost."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        rows = b.column("text").to_pylist()
+        ids.append(b.column("doc_id"))
+        texts += rows
+        size += sum(map(len, rows))
+        if size >= most:
+            yield pa.concat_arrays(ids), texts
+            ids, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_arrays(ids), texts
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -171,12 +190,12 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for b in batches:
-            got = c.round_trip(b.column("text").to_pylist())
+        for doc, texts in grouped(batches):
+            got = c.round_trip(texts)
             ids = [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *ids])),
+                [doc, pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *ids])),
                  pa.array([d for _, d in got], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return U.texts(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -189,10 +208,10 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for b in batches:
-            got = c.round_trip(b.column("text").to_pylist())
+        for doc, texts in grouped(batches):
+            got = c.round_trip(texts)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(i) // 4 for i, _ in got], pa.int64()),
+                [doc, pa.array([len(i) // 4 for i, _ in got], pa.int64()),
                  pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]),
                  pa.array([hashlib.sha256(d).hexdigest() for _, d in got])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
