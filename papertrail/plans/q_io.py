@@ -173,9 +173,24 @@ def snk_04(spark, sf):
     return e.select("author_id", "src", "dst", "weight")
 
 
-@register("src_08", _EDGE_SQL)
+_READ_GRAPH_SQL = PROFILE_SQL + f"""
+, e AS ({_EDGE_SQL}),
+n AS (SELECT author_id, count(DISTINCT paper_id) AS n_nodes FROM profile GROUP BY author_id),
+d AS (SELECT author_id, count(*) AS n_edges, sum(weight) AS total_weight FROM e GROUP BY author_id)
+SELECT n.author_id, CAST(n_nodes AS BIGINT) AS n_nodes, CAST(coalesce(n_edges, 0) AS BIGINT) AS n_edges,
+       CAST(coalesce(total_weight, 0) AS BIGINT) AS total_weight FROM n LEFT JOIN d ON d.author_id = n.author_id"""
+
+
+@register("src_08", _READ_GRAPH_SQL)
 def src_08(spark, sf):
-    return snk_04(spark, sf)
+    """Saved graphs read back: nodes, edges and total edge weight of every author."""
+    nodes, edges = _graph_tables(spark, sf)
+    path = scratch_path(spark, "graph")
+    IO.write_graph(nodes, edges, path)
+    n, e = IO.read_graph(spark, path)
+    n = n.groupBy("author_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    e = e.groupBy("author_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("total_weight"))
+    return n.join(e, "author_id", "left").na.fill(0, ["n_edges", "total_weight"])
 
 
 @register("snk_05", _EDGE_SQL)
@@ -238,26 +253,38 @@ def flt_04(spark, sf):
     return _guarded_pair(spark, sf)
 
 
-@register("jon_07", _PAIR_SQL)
+_CONCAT_SQL = sql_with(SQL_PROFILE) + """
+SELECT pr.author_id, pr.paper_id, round(o.o_totalprice / 100000.0, 6) AS x_0,
+       round((year(o.o_orderdate) - 1995) / 5.0, 6) AS x_1, round(l.q / 50.0, 6) AS x_2
+FROM profile pr JOIN orders o ON o.o_orderkey = pr.paper_id
+JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = pr.paper_id"""
+
+
+@register("jon_07", _CONCAT_SQL)
 def jon_07(spark, sf):
-    """Join of two node-feature sets by (author, paper), first set first."""
-    return _guarded_pair(spark, sf)
+    """Feature vectors of two builders joined by (author, paper) and concatenated, first set first."""
+    pr = D.profiles(spark, sf).select("author_id", "paper_id")
+    o = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), F.array(
+        F.col("o_totalprice") / 100000.0, (F.year("o_orderdate") - 1995) / 5.0).alias("x1"))
+    li = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")) \
+        .agg(F.array(F.max("l_quantity") / 50.0).alias("x2"))
+    j = pr.join(o, "paper_id").join(pr.join(li, "paper_id"), ["author_id", "paper_id"])
+    x = F.concat("x1", "x2")
+    return j.select("author_id", "paper_id", *[r6(x[i]).alias(f"x_{i}") for i in range(3)])
 
 
 @register("snk_05_stream", _EDGE_SQL)
 def snk_05_stream(spark, sf):
-    """Incremental graph build: profile files arrive in one batch per market
-    segment and a Structured Streaming job (foreachBatch, key-based resume)
-    appends graphs.  (The segment list is a handful of values.)"""
+    """Incremental graph build: profile parts are dealt over files by (author, part), a Structured Streaming
+    job (foreachBatch) reads them in about four batches and rebuilds the graphs of the authors it meets."""
     from papertrail.streaming import incremental as INC
     root = scratch_path(spark, "stream")
-    seg = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"), "c_mktsegment")
-    prof = D.profiles(spark, sf).join(seg, "author_id")
-    for i, s in enumerate(r.c_mktsegment for r in seg.select("c_mktsegment").distinct().collect()):
-        part = prof.filter(F.col("c_mktsegment") == s).drop("c_mktsegment")
-        IO.write_profiles(part, f"{root}/in/batch={i}")
+    for k in range(4):
+        part = F.pmod(F.xxhash64("author_id", F.expr(f"seq div {IO.CHUNK}")), F.lit(4))
+        IO.write_profiles(D.profiles(spark, sf).where(part == k), f"{root}/in/batch={k}")
+    files = len(spark.read.schema(INC.PART_SCHEMA).json(f"{root}/in").inputFiles())
     papers = INC.papers_by_string_id(D.papers(spark, sf))
-    INC.build_stream(spark, f"{root}/in/*", papers, f"{root}/out", f"{root}/ckpt")
+    INC.build_stream(spark, f"{root}/in/*", papers, f"{root}/out", f"{root}/ckpt", max(1, files // 4))
     _, e = IO.read_graph(spark, f"{root}/out")
     return e.select(F.col("author_id").cast("long").alias("author_id"), F.col("src").cast("long").alias("src"),
                     F.col("dst").cast("long").alias("dst"), "weight")

@@ -189,27 +189,50 @@ def stopword_set(spark: SparkSession, *lists, files: list[str] = ()) -> DataFram
 GRAPH_BUCKETS = 64
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None when nothing was written there yet."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def next_epoch(spark: SparkSession, path: str) -> int:
+    """One past the last committed epoch; an epoch that failed before its commit is used again."""
+    done = _written(spark, f"{path}/done")
+    last = None if done is None else done.agg(F.max("epoch")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = GRAPH_BUCKETS,
-                mode: str = "append") -> None:
-    """Node and edge tables partitioned by an author bucket (append per batch).
-    Edges are written first: the node table marks an author as complete, which
-    is what ``pending`` resumes from."""
+                epoch: int | None = None) -> None:
+    """Node and edge tables of one epoch, partitioned by an author bucket, each replacing what an interrupted
+    run of that epoch left.  ``done/epoch=N`` is written last and lists the authors of the epoch: only
+    then do readers see them, and in place of any earlier epoch of the same author."""
+    spark = nodes.sparkSession
+    epoch = next_epoch(spark, path) if epoch is None else epoch
     b = F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(buckets)).cast("int")
-    edges.withColumn("bucket", b).write.mode(mode).partitionBy("bucket").parquet(f"{path}/edges")
-    nodes.withColumn("bucket", b).write.mode(mode).partitionBy("bucket").parquet(f"{path}/nodes")
+    for name, df in (("edges", edges), ("nodes", nodes)):
+        df.withColumn("bucket", b).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/epoch={epoch}")
+    authors = spark.read.schema(nodes.schema).parquet(f"{path}/nodes/epoch={epoch}").select("author_id").distinct()
+    authors.write.mode("overwrite").parquet(f"{path}/done/epoch={epoch}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.parquet(f"{path}/nodes").drop("bucket"),
-            spark.read.parquet(f"{path}/edges").drop("bucket"))
+    """Nodes and edges of every author's last committed epoch."""
+    last = spark.read.parquet(f"{path}/done").groupBy("author_id").agg(F.max("epoch").alias("epoch"))
+
+    def current(name):
+        return (spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")
+                .join(last, ["author_id", "epoch"], "left_semi").drop("bucket", "epoch"))
+    return current("nodes"), current("edges")
 
 
 # --- SNK-05: key-based resume ------------------------------------------------------
 def pending(todo: DataFrame, done_path: str, spark: SparkSession) -> DataFrame:
-    """Rows of authors not yet present in the written node table."""
-    from pyspark.errors import AnalysisException
-    try:
-        done = spark.read.parquet(f"{done_path}/nodes").select("author_id").distinct()
-    except AnalysisException:  # nothing written yet
-        return todo
-    return todo.join(done, "author_id", "left_anti")
+    """Rows of authors that no committed epoch holds."""
+    done = _written(spark, f"{done_path}/done")
+    return todo if done is None else todo.join(done.select("author_id").distinct(), "author_id", "left_anti")

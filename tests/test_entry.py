@@ -10,7 +10,7 @@ from papertrail.sources.driver import TABLES
 from tests.conftest import SF
 
 SKIP_SLOW = {"emb_01", "emb_02", "prd_01", "prd_02", "agg_07", "ens_01", "prd_03", "prd_04", "prd_05",
-             "snk_05_stream", "prp_07", "opt_03"}
+             "prp_07", "opt_03"}
 
 
 def _norm(v):

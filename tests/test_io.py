@@ -80,3 +80,53 @@ def test_edit_distance_matches_brute_force_on_a_common_prefix(spark):
             df.withColumnRenamed("w", "a"), df.withColumnRenamed("w", "b"), k=k).collect()}
         cross = df.crossJoin(df.withColumnRenamed("w", "v")).where(F.levenshtein("w", "v") <= k).collect()
         assert got == {(r["w"], r["v"]) for r in cross}
+
+
+def _stream_fixture(spark, tmp_path):
+    """Two authors cut into parts of two papers, each part in a file of its own; every paper shares two names."""
+    rows = [(a, "n", f"{a}{i}", i % 2, i) for a in ("a", "b") for i in range(6)]
+    flat = spark.createDataFrame(rows, "author_id string, name string, paper_id string, label int, seq long")
+    for k in range(3):
+        IO.write_profiles(flat.where(F.expr("seq div 2") == k), str(tmp_path / "in" / f"batch={k}"), chunk=2)
+    papers = flat.select("paper_id").distinct().withColumn("authors", F.expr(
+        "array(named_struct('name', 'x one', 'org', 'o'), named_struct('name', 'y two', 'org', 'o'))"))
+    want = {(a, f"{a}{i}", f"{a}{j}", 1) for a in ("a", "b") for i in range(6) for j in range(6) if i != j}
+    return papers, want
+
+
+def _edges_of(spark, path):
+    rows = [tuple(r) for r in IO.read_graph(spark, path)[1].select("author_id", "src", "dst", "weight").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_stream_joins_parts_of_an_author_over_batches(spark, tmp_path):
+    from papertrail.streaming import incremental as INC
+    papers, want = _stream_fixture(spark, tmp_path)
+    out = str(tmp_path / "out")
+    INC.build_stream(spark, str(tmp_path / "in" / "*"), papers, out, str(tmp_path / "ckpt"))
+    assert spark.read.parquet(f"{out}/done").select("epoch").distinct().count() >= 3
+    assert _edges_of(spark, out) == want
+
+
+def test_batch_survives_a_failure_between_writes_and_a_replay(spark, tmp_path):
+    import pytest
+
+    from papertrail.operators import graph as G
+    from papertrail.streaming import incremental as INC
+    papers, want = _stream_fixture(spark, tmp_path)
+    out = str(tmp_path / "out")
+    batches = [spark.read.schema(INC.PART_SCHEMA).json(str(tmp_path / "in" / f"batch={k}")) for k in range(3)]
+    step = INC.graph_builder(papers, out)
+    step(batches[0], 0)
+    before = _edges_of(spark, out)
+    nodes, G.nodes = G.nodes, lambda pp, cols: nodes(pp, cols).withColumn("x", F.raise_error(F.lit("lost")))
+    try:
+        with pytest.raises(Exception, match="lost"):
+            step(batches[1], 1)  # edges of epoch 1 are written, its nodes are not
+    finally:
+        G.nodes = nodes
+    assert _edges_of(spark, out) == before
+    for k in (1, 2, 2, 2):
+        step(batches[k], k)
+    assert _edges_of(spark, out) == want
