@@ -245,6 +245,19 @@ def test_packing(df, empty, rows):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_encoder_parts_words_as_the_library_does():
+    from tokenizers import Tokenizer
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    words = ["Best.", "best###", "DON'T!", "'S.", "it's,", "<|endoftext|>.", "x<|endoftext|>y.", "<|ENDOFTEXT|>.", "é…###",
+             "e\u0301##", "J\u030c.", "I\u0307x.", "İx.", "ΣΑΣ.", "ﬁn!!", "K.", "a_b_", "a1.", "1.", "...", "a.b.", "漢字。.",
+             "x\xa0.", "x\x1c.", "²)", "ª)", "ß-", "\"Q\"", "#\u0338.", "=\u0338", "a|b.", "a>.", "Ⅷ.", "ⓐ."]
+    texts = words + [" ".join(words), "\n".join(reversed(words)), "word " * 5000 + "x" * 1000 + "."]
+    want = [packing._packed(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    enc = packing.Encoder(path)
+    assert enc.ids(texts) == want == enc.ids(texts)
+
+
 def test_packing_search_beats_best_fit():
     r = np.random.default_rng(0)
     counts = np.bincount(r.integers(300, 1000, 200), minlength=2049)
