@@ -119,12 +119,18 @@ def grf_02(spark, sf_dir):
     return _edges(G.subset_coauthor_edges(large))
 
 
-@register("jon_05", _SUBSET_SQL)
+_SUBSET_COUNT_SQL = sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES) + f"""
+, nm AS (SELECT author_id, paper_id, seq, list_distinct(string_split({_NAME_SQL}, ' ')) AS toks FROM plines)
+SELECT a.author_id, a.paper_id AS src, b.paper_id AS dst, count(*) AS shared
+FROM nm a JOIN nm b ON a.author_id = b.author_id AND a.seq <> b.seq
+ AND len(list_filter(a.toks, lambda t: NOT list_contains(b.toks, t))) = 0
+GROUP BY a.author_id, a.seq, a.paper_id, b.seq, b.paper_id"""
+
+
+@register("jon_05", _SUBSET_COUNT_SQL)
 def jon_05(spark, sf_dir):
-    sized = G.with_profile_size(graph_pp(spark, sf_dir))
-    large = sized.filter(F.col("n_papers") > SUBSET_ABOVE).drop("n_papers")
-    return (G.subset_pair_counts(large).filter(F.col("shared") >= 2)
-            .select("author_id", "src", "dst", (F.col("shared") - 1).cast("long").alias("weight")))
+    """Token-subset join of all profiles: name pairs of two papers in which the first's tokens are among the second's."""
+    return G.subset_pair_counts(graph_pp(spark, sf_dir)).select("author_id", "src", "dst", "shared")
 
 
 _MERGE_SQL = sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_PAPER, SQL_PP, SQL_NAMES, SQL_ORGS,

@@ -214,11 +214,11 @@ def jon_01(spark, sf):
 
 @register("jon_01_missing", BASE + """
 SELECT pr.author_id, pr.paper_id FROM profile pr
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = pr.paper_id)""")
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = pr.paper_id)""")
 def jon_01_missing(spark, sf):
-    """Data-quality check: profile rows whose paper record is missing (left anti)."""
-    return (D.profiles(spark, sf).join(D.papers(spark, sf).select("paper_id"), "paper_id", "left_anti")
-            .select("author_id", "paper_id"))
+    """Data-quality check: profile rows whose paper has no content record (its lines), by left anti-join."""
+    content = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"))
+    return D.profiles(spark, sf).join(content, "paper_id", "left_anti").select("author_id", "paper_id")
 
 
 @register("agg_05", sql_with(SQL_PROFILE) + """
