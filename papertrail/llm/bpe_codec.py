@@ -21,15 +21,44 @@ from pyspark.sql import DataFrame
 
 from papertrail.llm import _util as U
 
-#: Words per recursive query, bytes of words per query, and distinct pieces that a worker remembers.
-QUERY_WORDS = 100_000
+#: Token rows that a query may make and bytes of long words per query; pieces and words that a worker remembers.
+QUERY_ROWS = 1 << 22
 QUERY_BYTES = 1 << 21
-REMEMBERED = 700_000
-#: Characters of text whose words are asked together.
+REMEMBERED = 600_000
+REMEMBERED_WORDS = 700_000
+#: Characters of text whose words are asked together; pieces and words longer than this are not remembered.
 GROUP_CHARS = 1 << 23
 LONG_PIECE = 256
+#: Bytes of a word from which a query holds its present tokens only, not those of every step.
+LONG_WORD = 1024
 
+#: Every step makes the tokens of all unfinished words anew; ``b`` is the next merge of the word (merged id, its
+#: position, that of the token it takes in), null when none is left.
 ENCODE_SQL = """
+WITH RECURSIVE neighbours AS (
+  SELECT w, pos, id, lead(id) OVER n AS next_id, lead(pos) OVER n AS next_pos
+  FROM first_tokens WINDOW n AS (PARTITION BY w ORDER BY pos)),
+first_best AS (
+  SELECT p.w, min((m.merged::BIGINT << 46) + (p.pos::BIGINT << 23) + p.next_pos) AS b
+  FROM neighbours p JOIN merges m ON p.id = m.l AND p.next_id = m.r GROUP BY p.w),
+tok(w, pos, id, b) AS (
+  SELECT w, pos, id, b FROM first_tokens LEFT JOIN first_best USING (w)
+  UNION ALL
+  (WITH kept AS (
+     SELECT w, pos, CASE WHEN pos = (b >> 23) & 8388607 THEN (b >> 46)::INT ELSE id END AS id
+     FROM tok WHERE b IS NOT NULL AND pos <> b & 8388607),
+   pairs AS MATERIALIZED (
+     SELECT w, pos, id, lead(id) OVER n AS next_id, lead(pos) OVER n AS next_pos
+     FROM kept WINDOW n AS (PARTITION BY w ORDER BY pos)),
+   best AS (
+     SELECT p.w, min((m.merged::BIGINT << 46) + (p.pos::BIGINT << 23) + p.next_pos) AS b
+     FROM pairs p JOIN merges m ON p.id = m.l AND p.next_id = m.r GROUP BY p.w)
+   SELECT w, pos, id, best.b FROM pairs LEFT JOIN best USING (w)))
+SELECT w, list(id ORDER BY pos) AS ids FROM tok WHERE b IS NULL GROUP BY w ORDER BY w
+"""
+
+#: The same for long words: a step only changes the two rows that it contracts.
+ENCODE_LONG_SQL = """
 WITH RECURSIVE tok(w, pos, id) USING KEY (w, pos) AS (
   SELECT w, pos, id FROM first_tokens
   UNION
@@ -93,6 +122,7 @@ class Codec:
         self.con.unregister("v")
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
+        self.known_words: dict[str, tuple[bytes, bytes]] = {}
 
     def _table(self, name: str, **cols) -> None:
         data = pa.table({k: pa.array(v, pa.int32()) for k, v in cols.items()})
@@ -100,41 +130,58 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _query(self, words: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
-        """ids and decoded bytes of each word."""
-        w, pos, ids = [], [], []
+    def _query(self, words: list[bytes], sql: str) -> list[tuple[bytes, bytes]]:
+        """ids (little-endian 32-bit integers) and decoded bytes of each word."""
         if any(len(x) >= 1 << 23 for x in words):
             raise ValueError("a word has 2^23 bytes or more")
-        for i, word in enumerate(words):
-            whole = self.ranks.get(word)  # a word in the vocabulary is one token
-            row = np.array([whole], np.int32) if whole is not None else self.first[np.frombuffer(word, np.uint8)]
-            ids.append(row)
-            pos.append(np.arange(len(row), dtype=np.int32))
-            w.append(np.full(len(row), i, np.int32))
-        self._table("first_tokens", w=np.concatenate(w), pos=np.concatenate(pos), id=np.concatenate(ids))
-        out = self.con.sql(ENCODE_SQL).to_arrow_table().column("ids").combine_chunks()
-        flat, ends = out.values.to_numpy(), out.offsets.to_numpy()
+        whole = np.array([self.ranks.get(x, -1) for x in words], np.int32)  # a word in the vocabulary is one token
+        size = np.where(whole >= 0, 1, [len(x) for x in words])
+        start = np.cumsum(size) - size
+        tokens = self.first[np.frombuffer(b"".join([x[:1] if r >= 0 else x for x, r in zip(words, whole)]), np.uint8)]
+        tokens[start[whole >= 0]] = whole[whole >= 0]
+        self._table("first_tokens", w=np.repeat(np.arange(len(words)), size),
+                    pos=np.arange(len(tokens)) - np.repeat(start, size), id=tokens)
+        out = self.con.sql(sql).to_arrow_table().column("ids").combine_chunks()
+        ends = out.offsets.to_numpy()
+        flat = out.values.to_numpy()[ends[0]:ends[-1]]
+        ends = ends - ends[0]
         n = np.diff(ends)
-        flat = flat[ends[0]:ends[-1]]
         self._table("ids", w=np.repeat(np.arange(len(words)), n),
-                    pos=np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], n), id=flat)
+                    pos=np.arange(len(flat)) - np.repeat(ends[:-1], n), id=flat)
         hexed = self.con.sql(DECODE_SQL).to_arrow_table().column("hex").to_pylist()
-        return np.split(flat.astype("<u4"), (ends[1:-1] - ends[0])), [bytes.fromhex(h) for h in hexed]
+        raw, at = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [(raw[i:j], bytes.fromhex(h)) for i, j, h in zip(at, at[1:], hexed)]
 
     def words(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """word -> (ids as little-endian 32-bit integers, decoded bytes)."""
         out: dict[bytes, tuple[bytes, bytes]] = {}
-        batch: list[bytes] = []
-        size = 0
-        for i, x in enumerate(words):
-            batch.append(x)
-            size += len(x)
-            if len(batch) >= QUERY_WORDS or size >= QUERY_BYTES or i == len(words) - 1:
-                ids, decoded = self._query(batch)
-                out.update(zip(batch, zip((a.tobytes() for a in ids), decoded)))
-                batch, size = [], 0
+        short = [x for x in words if len(x) <= LONG_WORD]
+        long = [x for x in words if len(x) > LONG_WORD]
+        for some, sql, most, weight in ((short, ENCODE_SQL, QUERY_ROWS, lambda n: n * (n + 1) // 2),
+                                        (long, ENCODE_LONG_SQL, QUERY_BYTES, lambda n: n)):
+            batch: list[bytes] = []
+            size = 0
+            for i, x in enumerate(some):
+                batch.append(x)
+                size += weight(len(x))
+                if size >= most or i == len(some) - 1:
+                    out.update(zip(batch, self._query(batch, sql)))
+                    batch, size = [], 0
         return out
 
+    def _ask(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Results of words, from memory or asked now."""
+        if len(self.known_words) > REMEMBERED_WORDS:
+            self.known_words = {}
+        got = {x: self.known_words[x] for x in words & self.known_words.keys()}
+        new = list(words - got.keys())
+        done = self.words([x.encode() for x in new])
+        for x in new:
+            got[x] = done[x.encode()]
+            if len(x) <= LONG_PIECE:
+                self.known_words[x] = got[x]
+        return got
+
     def round_trip(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """ids and decoded bytes of each text."""
         every: set[str] = set()
@@ -144,10 +191,11 @@ class Codec:
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known = {"": (b"", b"")}
             wanted = every - {""}
-        split = {p: [m.encode() for m in self.pattern.findall(p)] for p in wanted}
-        done = self.words(list(dict.fromkeys(x for ws in split.values() for x in ws)))
+        split = {p: self.pattern.findall(p) for p in wanted}
+        done = self._ask(set().union(*split.values()))
         for p, ws in split.items():
-            self.known[p] = (b"".join([done[x][0] for x in ws]), b"".join([done[x][1] for x in ws]))
+            self.known[p] = done[ws[0]] if len(ws) == 1 else (
+                b"".join([done[x][0] for x in ws]), b"".join([done[x][1] for x in ws]))
         out = []
         for t in texts:
             both = list(map(self.known.__getitem__, U.pieces(t)))

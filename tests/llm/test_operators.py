@@ -65,6 +65,22 @@ def test_bpe_round_trip(df, empty, rows):
     assert bpe_codec.bpe_round_trip(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_long_and_short_words(monkeypatch):
+    import tiktoken
+    path = P.path("byte_bpe_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_codec.read_ranks(path), special_tokens={})
+    texts = ["a" * 3000, "ab" * 700 + " " + "xyz" * 500, "\U0001f600" * 400, "é" * 1500, "", " ", "\n\n  \n", "aAaA" * 300,
+             "one two, two one.\ntwo", "one two"]
+    for words, rows in ((700_000, 1 << 22), (1, 50)):  # the second forgets and asks anew all the time
+        monkeypatch.setattr(bpe_codec, "REMEMBERED_WORDS", words)
+        monkeypatch.setattr(bpe_codec, "REMEMBERED", words)
+        monkeypatch.setattr(bpe_codec, "QUERY_ROWS", rows)
+        c = bpe_codec.Codec(path, P.PATTERN)
+        for _ in range(2):
+            for t, (ids, decoded) in zip(texts, c.round_trip(texts)):
+                assert np.frombuffer(ids, "<u4").tolist() == e.encode_ordinary(t) and decoded == t.encode()
+
+
 def test_language_model(df, empty, rows):
     scored = ngram_lm.score(df, F.col("doc_id") < 100).collect()
     words = [((x or "").encode().lower().split() + ["end"], d is not None and d < 100) for d, x in rows]
