@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from papertrail.llm import _util as U
 
-#: Token rows that a query may make and bytes of long words per query; pieces and words that a worker remembers.
+#: Token rows that a query may make and bytes of long words per query; pieces and words that a worker remembers
+#: in each of two generations.
 QUERY_ROWS = 1 << 22
 QUERY_BYTES = 1 << 21
 REMEMBERED = 600_000
@@ -103,6 +104,35 @@ def last_pair(token: bytes, rank: int, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+class Memory:
+    """ids and decoded bytes of strings; what was not met since the last ``most`` strings is forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that are not remembered; the others are in ``known`` from now on."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        absent = wanted - self.known.keys()
+        back = absent & self.older.keys()
+        self.known.update(zip(back, map(self.older.__getitem__, back)))
+        return list(absent - back)
+
+    def forget_long(self, asked: list[str]) -> None:
+        for x in asked:
+            if len(x) > LONG_PIECE:
+                del self.known[x]
+
+
+def joined(parts) -> tuple[bytes, bytes]:
+    """ids and decoded bytes of successive parts."""
+    ids, decoded = tuple(zip(*parts)) or ((), ())
+    return b"".join(ids), b"".join(decoded)
+
+
 class Codec:
     """Encodes and decodes words in DuckDB; remembers pieces (see ``_util.pieces``) of texts."""
 
@@ -121,8 +151,7 @@ class Codec:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.con.unregister("v")
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
-        self.known_words: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces, self.known_words = Memory(REMEMBERED), Memory(REMEMBERED_WORDS)
 
     def _table(self, name: str, **cols) -> None:
         data = pa.table({k: pa.array(v, pa.int32()) for k, v in cols.items()})
@@ -169,40 +198,24 @@ class Codec:
                     batch, size = [], 0
         return out
 
-    def _ask(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Results of words, from memory or asked now."""
-        if len(self.known_words) > REMEMBERED_WORDS:
-            self.known_words = {}
-        got = {x: self.known_words[x] for x in words & self.known_words.keys()}
-        new = list(words - got.keys())
-        done = self.words([x.encode() for x in new])
-        for x in new:
-            got[x] = done[x.encode()]
-            if len(x) <= LONG_PIECE:
-                self.known_words[x] = got[x]
-        return got
+    def _ask(self, words: set[str]) -> list[str]:
+        """Make the words known, asking for those that are not; the words asked for."""
+        new = self.known_words.missing(words)
+        coded = [x.encode() for x in new]
+        self.known_words.known.update(zip(new, map(self.words(coded).__getitem__, coded)))
+        return new
 
     def round_trip(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """ids and decoded bytes of each text."""
-        every: set[str] = set()
-        for t in texts:
-            every.update(U.pieces(t))
-        wanted = every - self.known.keys()
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {"": (b"", b"")}
-            wanted = every - {""}
-        split = {p: self.pattern.findall(p) for p in wanted}
-        done = self._ask(set().union(*split.values()))
-        for p, ws in split.items():
-            self.known[p] = done[ws[0]] if len(ws) == 1 else (
-                b"".join([done[x][0] for x in ws]), b"".join([done[x][1] for x in ws]))
-        out = []
-        for t in texts:
-            both = list(map(self.known.__getitem__, U.pieces(t)))
-            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
-        for p in wanted:
-            if len(p) > LONG_PIECE:
-                del self.known[p]
+        cut = [U.pieces(t) for t in texts]
+        new = self.pieces.missing(set().union(*cut))
+        split = [self.pattern.findall(p) for p in new]
+        asked = self._ask(set().union(*split))
+        word, piece = self.known_words.known.__getitem__, self.pieces.known.__getitem__
+        self.pieces.known.update(zip(new, [word(ws[0]) if len(ws) == 1 else joined(map(word, ws)) for ws in split]))
+        out = [joined(map(piece, ps)) for ps in cut]
+        self.pieces.forget_long(new)
+        self.known_words.forget_long(asked)
         return out
 
 
