@@ -27,8 +27,8 @@ from papertrail.session import materialize
 
 #: Samples of a fingerprint; characters read at once; words drawn and rows compared at once.
 SAMPLES = 64
-CHARS = 1 << 21
-BLOCK = 8_192
+CHARS = 1 << 22
+BLOCK = 512
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
