@@ -304,6 +304,25 @@ def test_search_matches_brute_force(df, empty, rows):
     assert bm25.search(empty, asked).count() == 0
 
 
+def test_search_with_equal_chunks(spark, tmp_path):
+    texts = ["red fox jumps", "red red dog", "blue fox", "green hill of red", ""]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)  # read twice, so two partitions hold identical rows
+    asked = one.where("doc_id in (0, 1)")
+    got = collections.defaultdict(list)
+    for r in bm25.search(one.union(one), asked, top=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.doc_id, round(r.score, 9)))
+    docs = [(d, _counter(t.encode().split())) for d, t in [*enumerate(texts)] * 2]
+    n, mean = len(docs), sum(sum(c.values()) for _, c in docs) / len(docs)
+    freq = _counter(w for _, c in docs for w in c)
+    for q in (0, 1):
+        scores = [(d, round(sum(math.log(1 + (n - freq[w] + .5) / (freq[w] + .5)) * c[w] * 2.2
+                                / (c[w] + 1.2 * (.25 + .75 * sum(c.values()) / mean)) for w in docs[q][1] if w in c), 9))
+                  for d, c in docs]
+        assert got[q] == sorted((x for x in scores if x[1] > 0), key=lambda x: (-x[1], x[0]))
+
+
 def test_quality(spark, df, empty):
     good = [(i, "and the of with this that from " * 8) for i in range(80)]
     bad = [(100 + i, "buy!!! ### $$$ NOW!!! ### " * 8) for i in range(80)]
