@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, plus random strings told from identifiers by two character Markov models.
 
 Both models are first-order chains over the characters of candidate runs.  The one of random strings is
-counted on the labelled samples that the fixed patterns give (their spans), the one of ordinary identifiers
-on all other runs of the corpus.  A run that no fixed span touches is a secret when its mean log-likelihood
-ratio a character reaches a threshold.
+counted on the labelled samples that the fixed patterns give (their spans, of ``assign`` the value), the one of
+ordinary identifiers on all other text.  What a run leaves outside the fixed spans is a secret when its total
+log-likelihood ratio reaches a threshold that grows with its length and is never below a least total.
 
 Contract: one row per input row; null and empty texts have no spans; repeated rows are each scanned; a
 null id stays null; other columns are not read.  With no labelled sample at all the random model is uniform.
@@ -33,9 +33,12 @@ PATTERNS = [
 ASSIGN_LEAST = 6
 KINDS = ["assign", "access", "hex", "random"]
 
-#: Runs that the models judge, their least length, and the least mean log-likelihood ratio (nats a character).
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs that the models judge, the least length of a part judged, and its least log-likelihood ratio (nats): for each
+#: character, and in total, which binds parts under 10 characters.
+LEAST = 8
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 THRESHOLD = 1.2
+TOTAL = 12.0
 #: Weight of single-character frequencies in each row of a chain.
 PRIOR = 8.0
 
@@ -58,6 +61,19 @@ def base_spans(text: str) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 
+def labelled(text: str) -> list[str]:
+    """Samples of secrets: the values of the fixed patterns, overlapping ones as one."""
+    found = sorted(m.span(2) if kind == "assign" else m.span() for kind, pattern in PATTERNS
+                   for m in pattern.finditer(text) if kind != "assign" or len(m[2]) >= ASSIGN_LEAST)
+    out: list[list[int]] = []
+    for a, b in found:
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [text[a:b] for a, b in out]
+
+
 def pair_counts(data: bytes) -> np.ndarray:
     """Counts of neighbouring character classes, borders of runs included."""
     c = np.zeros(len(data) + 2, np.int64)
@@ -90,8 +106,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.n
         secret, all_ = np.zeros(STATES * STATES, np.int64), np.zeros(STATES * STATES, np.int64)
         for b in batches:
             rows = b.column("text").to_pylist()
-            found = [t[s:e].rpartition("=")[2].rpartition(":")[2].strip("\"' ") if kind == "assign" else t[s:e]
-                     for t in rows for kind, s, e in base_spans(t)]
+            found = [x for t in rows for x in labelled(t)]
             secret += pair_counts("\n".join(found).encode())
             all_ += pair_counts("\n".join(rows).encode())
         for label, n in ((True, secret), (False, all_ - secret)):
@@ -106,16 +121,39 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.n
     return log_ratio({(r["secret"], r["pair"]): r["n"] for r in rows})
 
 
-def find(text: str, ratio: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
+def _outside(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Parts of runs outside the spans ``base`` (by start), of at least ``LEAST`` characters."""
+    out = []
+    for m in RUN.finditer(text):
+        at, b = m.span()
+        for _, s, e in base:
+            if s >= b:
+                break
+            if e > at:
+                if s - at >= LEAST:
+                    out.append((at, s))
+                at = e
+        if b - at >= LEAST:
+            out.append((at, b))
+    return out
+
+
+def totals(parts: list[str], ratio: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each part in total."""
+    c = _CLASS[np.frombuffer(("\n" + "\n".join(parts)).encode(), np.uint8)]
+    size = np.array([len(p) + 1 for p in parts], np.int64)
+    return np.add.reduceat(ratio[c[:-1], c[1:]], np.cumsum(size) - size)  # a step to a border counts 0
+
+
+def find(text: str, ratio: np.ndarray, threshold: float = THRESHOLD, total: float = TOTAL) -> tuple[list[Span], list[Span]]:
     """(spans of the fixed patterns, all spans) of one text."""
     base = base_spans(text)
-    more = []
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        if all(b <= s or e <= a for _, s, e in base):
-            c = np.concatenate([[0], _CLASS[np.frombuffer(m[0].encode(), np.uint8)]])
-            if ratio[c[:-1], c[1:]].mean() >= threshold:
-                more.append(("random", a, b))
+    parts = _outside(text, base)
+    if not parts:
+        return base, base
+    least = np.maximum(total, threshold * np.array([b - a for a, b in parts]))
+    hit = totals([text[a:b] for a, b in parts], ratio) >= least
+    more = [("random", *parts[i]) for i in np.flatnonzero(hit)]
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]))) if more else base
 
 

@@ -237,6 +237,25 @@ def test_markov_models_tell_random_strings_from_words():
     assert not secret_scan.find("internationalizationresponsibilities", ratio)[1]
 
 
+def test_secret_scan_judges_short_runs_and_what_fixed_spans_leave(spark):
+    r = np.random.default_rng(6)
+    chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    secret = ["".join(r.choice(chars, 16)) for _ in range(700)]
+    rows = [(i, f"{PASSAGE} internationalization underneath token: {s}== {PASSAGE}") for i, s in enumerate(secret[:600])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratio = secret_scan.train(docs)
+    assert ratio[secret_scan.ALPHABET.index("=") + 1, secret_scan.ALPHABET.index("=") + 1] > 0
+    for n, least in ((8, 0.7), (12, 0.9), (16, 0.95)):
+        hit = [secret_scan.find(f"x {s[:n]} y", ratio)[1] == [("random", 2, 2 + n)] for s in secret[600:]]
+        assert np.mean(hit) > least
+    assert not secret_scan.find(f"{PASSAGE} internationalization internationalizationresponsibilities", ratio)[1]
+    key = "q9Zk2Lx8Vb4Nm7Wp1Rt6Yc3Sd5"
+    text = f"x {key}-{'0123456789abcdef' * 2}-{key} y"
+    spans = secret_scan.find(text, ratio)[1]
+    left = secret_scan.blank(text, spans, "*")
+    assert "Zk2Lx8Vb4Nm7" not in left and [k for k, _, _ in spans] == ["random", "hex", "random"]
+
+
 def test_packing(df, empty, rows):
     from tokenizers import Tokenizer
     path = P.path("word_bpe_49k.json")
