@@ -31,7 +31,7 @@ from papertrail.llm import chunks
 from papertrail.session import materialize
 
 #: Order of the model, discount, characters of text in a chunk.
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.75
 CHUNK = 1 << 23
 

@@ -93,6 +93,34 @@ def test_language_model(df, empty, rows):
     assert ngram_lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_language_model_scores_match_brute_force(df, rows):
+    def byte(p, step):
+        return float(ngram_lm.restored(ngram_lm.quantise(np.array([p]), step), step)[0])
+
+    words = [((x or "").encode().lower().split() + ["end"], d is not None and d < 100) for d, x in rows]
+    one = _counter(w for ws, t in words if t for w in ws)
+    after = collections.defaultdict(_counter)
+    for ws, t in words:
+        for i in range(len(ws) if t else 0):
+            for n in (1, 2):
+                after[tuple(["begin"] * n + ws[:i])[-n:]][ws[i]] += 1
+    want = []
+    for ws, _ in words:
+        total = 0.0
+        for i, w in enumerate(ws):
+            p = (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+            for n in (1, 2):
+                c = after.get(tuple(["begin"] * n + ws[:i])[-n:])
+                if c:
+                    m = sum(c.values())
+                    a = byte((c[w] - 0.75) / m, ngram_lm.STEP_SUCCESSOR) if c[w] else 0.0
+                    p = a + byte(0.75 * len(c) / m, ngram_lm.STEP_BACKOFF) * p
+            total += math.log10(min(p, 1.0))
+        want.append((len(ws), round(total, 6)))
+    got = sorted((r.n_tokens, round(r.score, 6)) for r in ngram_lm.score(df, F.col("doc_id") < 100).collect())
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(got, sorted(want), strict=True))
+
+
 def test_elias_fano_slices():
     r = np.random.default_rng(0)
     for n in (1, 2, 700, 5000):
