@@ -5,10 +5,10 @@ rest.  The search for fillings sees only how many pieces there are of each lengt
 numbers, whatever the corpus), so it runs on the driver; pieces then find their place by their rank
 among those of their length, which Spark counts in two levels, so no length gathers its pieces in one task.
 
-Search: around the longest piece left, complete sequences are enumerated, undominated ones only (no piece
-left could replace a smaller one in it, and one longer piece is tried before several short ones that it
-could stand for); each is taken as often as its lengths allow.  A branch ends when its waste exceeds what the
-incumbent's number of sequences allows; the first incumbent is best-fit decreasing.
+Search: around the longest piece left, fillings are listed by least waste, undominated ones only (no piece left fits
+in as well or could replace one or two smaller ones in it); each is taken as often as its lengths allow, then half as
+often, down to once.  A branch ends when its waste exceeds what the incumbent's number of sequences allows; the first
+incumbent is best-fit decreasing, and the one cut is the number of fillings looked at in all (``NODES``).
 
 Contract: null and empty texts are one piece with the closing id alone; repeated rows are each packed; an empty table
 gives no rows; a null id stays null; other columns are not read.
@@ -20,6 +20,7 @@ import os
 import sys
 import zlib
 from array import array
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +32,10 @@ from pyspark.sql.window import Window
 from papertrail.llm import _util as U
 from papertrail.session import materialize
 
-#: Branches that the search may take before it keeps its incumbent, fillings tried around one piece,
-#: and pieces of one length that one task ranks.
+#: Fillings that the search may look at, over all its branches, before it keeps its incumbent; steps of the path that
+#: hold their rows of reachable totals; and pieces of one length that one task ranks.
 NODES = 4_000
-FILLINGS = 6
+HELD = 64
 RANKED = 50_000
 #: Distinct stretches of visible text that a worker remembers.
 REMEMBERED = 900_000
@@ -128,70 +129,74 @@ def _largest(counts: np.ndarray, up_to: int) -> int:
     return int(at[-1]) + 1 if len(at) else 0
 
 
-def completions(counts: np.ndarray, gap: int, limit: int, least_waste: int = 0) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``gap`` from the pieces left, least waste first, at most ``limit``.
-
-    Depth first from the longest piece that fits; a filling that leaves room for a further piece, or a
-    single piece that wastes no more than a set of shorter ones, keeps the others from being listed."""
-    lengths = np.flatnonzero(counts)
-    lengths = lengths[(lengths > 0) & (lengths <= gap)]
-    if not len(lengths):
-        return [()]
-    found: dict[tuple[int, ...], int] = {}
-    left = {int(x): int(counts[x]) for x in lengths}
-    order = lengths.tolist()
-    steps = 0
-
-    def extend(chosen: tuple[int, ...], room: int, top: int) -> None:
-        nonlocal steps
-        i = int(np.searchsorted(lengths, min(room, top), "right")) - 1
-        tried = 0
-        while i >= 0 and tried < limit and len(found) < 4 * limit and steps < 64 * limit:
-            x = order[i]
-            i -= 1
-            if chosen.count(x) >= left[x]:
+class Completions:
+    """Undominated fillings of ``gap`` from the pieces left, listed one by one: least waste first, then longest first.
+
+    Rows of reachable totals (bit sets, one for each length and all shorter ones) lead the listing, so no step of it
+    ends without a filling.  They can be let go and are made again when the listing goes on."""
+
+    def __init__(self, counts: np.ndarray, gap: int):
+        at = np.flatnonzero(counts[:gap + 1])
+        self.lengths = [int(x) for x in at if x > 0]
+        self.left = {x: int(counts[x]) for x in self.lengths}
+        self.gap = gap
+        self.rows: list[int] | None = None
+
+    def _row(self, i: int) -> int:
+        """Totals that the lengths up to place ``i`` can make, as bits."""
+        if self.rows is None:
+            row, mask = 1, (1 << (self.gap + 1)) - 1
+            self.rows = [row]
+            for x in self.lengths:
+                n, step = min(self.left[x], self.gap // x), 1
+                while n:
+                    step = min(step, n)
+                    row |= (row << (x * step)) & mask
+                    n -= step
+                    step *= 2
+                self.rows.append(row)
+        return self.rows[i + 1]
+
+    def listed(self, waste: int):
+        """(waste, filling) of all fillings that waste up to ``waste``; the filling is None where it is dominated."""
+        last = len(self.lengths) - 1
+        for lost in range(min(waste, self.gap) + 1):
+            if not self._row(last) >> (self.gap - lost) & 1:
                 continue
-            steps += 1
-            tried += 1
-            rest = room - x
-            if rest < order[0] or rest == 0:
-                found[chosen + (x,)] = rest
-                if rest == 0:
-                    return  # the longest exact fit dominates shorter sets in the same room
-            else:
-                before = len(found)
-                extend(chosen + (x,), rest, x)
-                if len(found) == before:
-                    found[chosen + (x,)] = rest
-            if min(found.values()) <= least_waste and len(found) >= limit:
-                return
-
-    extend((), gap, order[-1])
-    ranked = sorted(found, key=lambda f: (found[f], len(f), tuple(-x for x in f)))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if not any(_dominates(k, f) for k in kept):
-            kept.append(f)
-        if len(kept) == limit:
-            break
-    return kept
-
-
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of ``b`` can be dealt into groups, each within its own piece of ``a``."""
-    room = sorted(a, reverse=True)
-    for x in sorted(b, reverse=True):
-        fits = [i for i, r in enumerate(room) if r >= x]
-        if not fits:
-            return False
-        room[min(fits, key=lambda i: room[i])] -= x
-    return True
-
-
-def _take(counts: np.ndarray, parts: tuple[int, ...]) -> int:
-    """How often the filling can be taken; takes it."""
+            todo: list[tuple[int, int, tuple]] = [(last, self.gap - lost, ())]
+            while todo:
+                i, total, chosen = todo.pop()
+                if not total:
+                    yield lost, None if self._dominated(chosen, lost) else tuple(x for x, n in chosen for _ in range(n))
+                    continue
+                x, below = self.lengths[i], self._row(i - 1)
+                for n in range(min(self.left[x], total // x) + 1):  # the most of the longest is taken up first
+                    if below >> (total - n * x) & 1:
+                        todo.append((i - 1, total - n * x, (*chosen, (x, n)) if n else chosen))
+
+    def _dominated(self, chosen: tuple, lost: int) -> bool:
+        """Whether a piece that is left fits in as well, or could stand for one or two of the shorter pieces."""
+        used = dict(chosen)
+        short = [0, *used]
+        for k, x in enumerate(short):
+            for y in short[k:]:
+                if x and x == y and used[x] < 2:
+                    continue
+                least = x + y  # x = 0: y alone, or nothing
+                for at in range(bisect_left(self.lengths, least + (not x)), len(self.lengths)):
+                    z = self.lengths[at]
+                    if z > least + lost:
+                        break
+                    if self.left[z] > used.get(z, 0):
+                        return True
+        return False
+
+
+def _take(counts: np.ndarray, parts: tuple[int, ...], most: int | None = None) -> int:
+    """How often the filling can be taken, up to ``most`` times; takes it."""
     kinds = {x: parts.count(x) for x in set(parts)}
     times = min(int(counts[x]) // n for x, n in kinds.items())
+    times = times if most is None else min(times, most)
     for x, n in kinds.items():
         counts[x] -= n * times
     return times
@@ -216,39 +221,61 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
     return out
 
 
-def plan(counts: np.ndarray, capacity: int, nodes: int = NODES, fillings: int = FILLINGS) -> list[Filling]:
+def plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Filling]:
     """Fillings for all pieces in as few sequences as the search finds; ``counts[n]``: pieces of length n."""
     total = int((counts * np.arange(len(counts))).sum())
     least = -(-total // capacity)
     best = best_fit(counts, capacity)
     count = sum(f.times for f in best)
     left = nodes
-    #: (pieces left, fillings so far as a chain, sequences, waste so far)
-    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(counts.copy(), None, 0, 0)]
-    while stack and left > 0 and count > least:
-        rest, chain, n, waste = stack.pop()
-        allowed = (count - 1) * capacity - total  # waste of a solution with a sequence less
-        if waste > allowed:
-            continue
+
+    def branches(rest, waste, made):
+        """(parts, times, waste of one) around the longest piece left; None for each dominated filling."""
         top = _largest(rest, capacity)
-        if not top:
-            best, count = [], n
-            while chain:
-                best.append(chain[0])
-                chain = chain[1]
-            best.reverse()
+        for lost, f in made.listed((count - 1) * capacity - total - waste):
+            if f is None:
+                yield None
+                continue
+            parts = (top, *f)
+            times = _take(rest.copy(), parts)
+            while times:  # fewer as well, so that the longest piece can have several fillings
+                yield parts, times, lost
+                times //= 2
+
+    def node(rest, chain, n, waste):
+        top = _largest(rest, capacity)
+        others = rest.copy()
+        others[top] -= 1
+        made = Completions(others, capacity - top)
+        return rest, chain, n, waste, made, branches(rest, waste, made)
+
+    #: path of (pieces left, fillings so far as a chain, sequences, waste so far, its completions, its branches to come)
+    path = [node(counts, None, 0, 0)] if count > least else []
+    while path and left > 0 and count > least:
+        rest, chain, n, waste, _, to_come = path[-1]
+        branch = next(to_come, False)
+        if branch is False:
+            path.pop()
             continue
         left -= 1
-        rest[top] -= 1
-        fits = completions(rest, capacity - top, fillings)
-        rest[top] += 1
-        for f in reversed(fits):
-            after = rest.copy()
-            parts = (top, *f)
-            times = _take(after, parts)
-            lost = (capacity - sum(parts)) * times
-            if waste + lost <= allowed or not after.any():
-                stack.append((after, (Filling(parts, times), chain), n + times, waste + lost))
+        if branch is None:
+            continue
+        parts, times, lost = branch
+        if waste + lost * times > (count - 1) * capacity - total:  # waste of a solution with a sequence less
+            continue
+        after = rest.copy()
+        _take(after, parts, times)
+        chain, n = (Filling(parts, times), chain), n + times
+        if after.any():
+            path.append(node(after, chain, n, waste + lost * times))
+            if len(path) > HELD:
+                path[-HELD - 1][4].rows = None
+            continue
+        best, count = [], n
+        while chain:
+            best.append(chain[0])
+            chain = chain[1]
+        best.reverse()
     return best
 
 

@@ -335,6 +335,29 @@ def test_packing_search_beats_best_fit():
     assert (used == counts).all()
 
 
+def test_packing_search_finds_full_sequences_that_best_fit_misses():
+    def made_of(lengths, capacity):
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        made = packing.plan(counts, capacity)
+        used = np.zeros(capacity + 1, int)
+        for f in made:
+            assert sum(f.parts) <= capacity
+            np.add.at(used, list(f.parts), f.times)
+        assert (used == counts).all()
+        return sum(f.times for f in packing.best_fit(counts, capacity)), sum(f.times for f in made)
+
+    missed = 0
+    for seed, capacity, n in ((14, 1000, 12), (32, 1000, 12), (73, 200, 6), (83, 1000, 6)):
+        r = np.random.default_rng(seed)
+        cuts = [np.sort(r.choice(np.arange(1, capacity), int(r.integers(1, 4)), replace=False)) for _ in range(n)]
+        best, found = made_of(np.concatenate([np.diff([0, *c, capacity]) for c in cuts]), capacity)
+        assert found == n
+        missed += best > n
+    assert missed
+    counts = np.bincount([999, 998, 997, 996, 995, 994, 500, 500])
+    assert next(f for _, f in packing.Completions(counts, 1000).listed(1000) if f) == (500, 500)
+
+
 def test_search_matches_brute_force(df, empty, rows):
     asked = df.where("doc_id in (40, 60, 110)").select("doc_id", "text")
     got = collections.defaultdict(list)
