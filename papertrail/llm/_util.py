@@ -18,6 +18,12 @@ _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _RUN = re.compile(r"\s ")
 
 
+def share(spark: SparkSession) -> None:
+    """Ship the package to Python workers and register the shared folder; no setting of the session changes."""
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the package to Python workers, register the shared folder, keep Arrow batches small."""
     ship_package(spark)

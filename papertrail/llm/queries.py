@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from papertrail.llm import (bm25, bpe_codec, cws, ngram_lm, packing, quality, secret_scan, simhash,
-                            suffix_dedup, token_counts)
+from papertrail.llm import (bm25, bpe_codec, conversations, cws, ngram_lm, packing, periodic_runs, quality, secret_scan,
+                            simhash, suffix_dedup, token_counts, token_files)
 from papertrail.sources.driver import table
 
 QUERIES = {}
@@ -82,3 +84,29 @@ def quality_model(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.audit(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@register
+def op12_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def planted_period(doc_id, words):
+    """The contract's edit: documents whose checksum ends in 0 repeat a period from a place on."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@register
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.summary(table(spark, sf_dir, "documents"), edit=planted_period)
