@@ -1,10 +1,9 @@
 """Paper-graph construction per author profile (GRF-01..08, JON-03..05, FLT-01/02).
 
-Edges are found with inverted indexes: each paper is exploded into its distinct
-elements (names, orgs, keywords, venue) and the element table is equi-joined
-with itself on (author, element).  Only pairs that share something are ever
-formed; there is no within-author cross join.  Hot (author, element) keys, such
-as a venue shared by most papers of a large profile, are split with salts.
+Edges are found with prefix-filtered inverted indexes (``overlap``): each paper is
+indexed under its distinct elements but the most frequent ones that the threshold
+spares, so papers that share only the profile's own name never meet; there is no
+within-author cross join.  Hot (author, element) keys are split by counted rows.
 
 Input ``pp`` is one row per (author, paper row): author_id, seq, paper_id and
 the arrays/columns the edge kinds read.  ``seq`` identifies the row inside the
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from papertrail import constants as K
 from papertrail.functions import text as T
-from papertrail.operators.skew import HOT_ROWS, salted_join
+from papertrail.operators import overlap as O
 
 PAIR_KEY = ["author_id", "src_seq", "src", "dst_seq", "dst"]
 EDGE_COLS = ["author_id", "src", "dst", "weight"]
@@ -27,50 +26,34 @@ EDGE_COLS = ["author_id", "src", "dst", "weight"]
 KIND_PRIORITY = {"coauthor": 1, "org": 2, "venue": 3, "keyword": 4}
 
 
-def memberships(pp: DataFrame, elements, group: str = "author_id") -> DataFrame:
-    """(author_id, seq, paper_id, elem): distinct non-null elements of each row."""
-    return (pp.select(group, "seq", "paper_id",
-                      F.explode(F.array_distinct(elements)).alias("elem"))
-            .filter(F.col("elem").isNotNull()))
+def shared_counts(pp: DataFrame, elements, least: int = 1, **kw) -> DataFrame:
+    """JON-03: for every ordered pair of distinct rows of one author that share ``least`` elements or more, the number
+    of shared elements (distinct, non-null)."""
+    return O.overlap_pairs(pp, elements, least, **kw)
 
 
-def shared_counts(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """JON-03: for every ordered pair of distinct rows of one author that share
-    at least one element, the number of shared elements."""
-    left = members.select("author_id", "elem", F.col("seq").alias("src_seq"),
-                          F.col("paper_id").alias("src"))
-    right = members.select("author_id", "elem", F.col("seq").alias("dst_seq"),
-                           F.col("paper_id").alias("dst"))
-    pairs = salted_join(left, right, ["author_id", "elem"], ["src_seq"], hot_rows)
-    return (pairs.filter(F.col("src_seq") != F.col("dst_seq"))
-            .groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("shared")))
-
-
-def threshold_edges(members: DataFrame, min_shared: int, offset: int, kind: str,
-                    **kw) -> DataFrame:
-    """Keep pairs with shared >= min_shared; weight = shared - offset."""
-    return (shared_counts(members, **kw)
-            .filter(F.col("shared") >= min_shared)
-            .select(*PAIR_KEY, (F.col("shared") - offset).cast("long").alias("weight"),
-                    F.lit(kind).alias("kind")))
+def threshold_edges(pp: DataFrame, elements, min_shared: int, offset: int, kind: str, **kw) -> DataFrame:
+    """Pairs with at least ``min_shared`` shared elements; weight = shared - offset."""
+    return shared_counts(pp, elements, min_shared, **kw).select(
+        *PAIR_KEY, (F.col("shared") - offset).cast("long").alias("weight"), F.lit(kind).alias("kind"))
 
 
 # --- GRF-01: co-author edges on exact normalised names -----------------------
 def coauthor_edges(pp: DataFrame, names_col: str = "names",
                    min_shared: int = K.MIN_SHARED_NAMES, **kw) -> DataFrame:
-    return threshold_edges(memberships(pp, F.col(names_col)), min_shared, 1, "coauthor", **kw)
+    return threshold_edges(pp, F.col(names_col), min_shared, 1, "coauthor", **kw)
 
 
 # --- GRF-03: co-organisation edges -------------------------------------------
 def org_edges(pp: DataFrame, orgs_col: str = "orgs",
               min_shared: int = K.MIN_SHARED_ORGS, **kw) -> DataFrame:
-    return threshold_edges(memberships(pp, F.col(orgs_col)), min_shared, 1, "org", **kw)
+    return threshold_edges(pp, F.col(orgs_col), min_shared, 1, "org", **kw)
 
 
 # --- GRF-05: co-keyword edges (raw, case-sensitive) ---------------------------
 def keyword_edges(pp: DataFrame, keywords_col: str = "keywords",
                   min_shared: int = K.MIN_SHARED_KEYWORDS, **kw) -> DataFrame:
-    return threshold_edges(memberships(pp, F.col(keywords_col)), min_shared, 0, "keyword", **kw)
+    return threshold_edges(pp, F.col(keywords_col), min_shared, 0, "keyword", **kw)
 
 
 # --- GRF-04 / JON-04: same-venue edges, NULL = NULL and '' = '' match ----------
@@ -81,9 +64,9 @@ def venue_key(venue_col: str = "venue"):
 
 
 def venue_edges(pp: DataFrame, venue_col: str = "venue", **kw) -> DataFrame:
-    members = pp.select("author_id", "seq", "paper_id", venue_key(venue_col).alias("elem"))
-    return (shared_counts(members, **kw)
-            .select(*PAIR_KEY, F.lit(1).cast("long").alias("weight"), F.lit("venue").alias("kind")))
+    """Every pair of a clique, as large as its output; ``venue_cliques`` holds the same edges in linear space."""
+    return shared_counts(pp, F.array(venue_key(venue_col)), 1, **kw).select(
+        *PAIR_KEY, F.lit(1).cast("long").alias("weight"), F.lit("venue").alias("kind"))
 
 
 def venue_cliques(pp: DataFrame, venue_col: str = "venue") -> DataFrame:
@@ -98,34 +81,16 @@ def venue_cliques(pp: DataFrame, venue_col: str = "venue") -> DataFrame:
 
 
 # --- GRF-02 / JON-05: token-subset co-author pairs -----------------------------
-def subset_pair_counts(pp: DataFrame, names_col: str = "names", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number of (i, j) position pairs whose name token set of row A is contained
-    in the token set of row B.  Exact blocking: a subset must contain its
-    smallest token, so A's names are keyed by array_min(tokens) and B's names
-    by every token they hold."""
-    named = pp.select("author_id", "seq", "paper_id",
-                      F.posexplode(F.col(names_col)).alias("pos", "nm"))
-    named = named.filter(F.col("nm").isNotNull()).withColumn(
-        "toks", F.array_distinct(F.split("nm", " ")))
-    left = named.select("author_id", F.col("seq").alias("src_seq"), F.col("paper_id").alias("src"),
-                        F.col("pos").alias("src_pos"), F.col("toks").alias("src_toks"),
-                        F.array_min("toks").alias("tok"))
-    right = named.select("author_id", F.col("seq").alias("dst_seq"), F.col("paper_id").alias("dst"),
-                         F.col("pos").alias("dst_pos"), F.col("toks").alias("dst_toks"),
-                         F.explode("toks").alias("tok"))
-    pairs = salted_join(left, right, ["author_id", "tok"], ["src_seq", "src_pos"],
-                        hot_rows)
-    return (pairs.filter((F.col("src_seq") != F.col("dst_seq"))
-                         & (F.size(F.array_except("src_toks", "dst_toks")) == 0))
-            .groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("shared")))
+def subset_pair_counts(pp: DataFrame, names_col: str = "names", least: int = 1, **kw) -> DataFrame:
+    """Number of (i, j) position pairs whose name token set of row A is contained in the token set of row B, where it
+    is ``least`` or more."""
+    return O.subset_pairs(pp, F.col(names_col), least, **kw)
 
 
 def subset_coauthor_edges(pp: DataFrame, names_col: str = "names",
                           min_shared: int = K.MIN_SHARED_NAMES, **kw) -> DataFrame:
-    return (subset_pair_counts(pp, names_col, **kw)
-            .filter(F.col("shared") >= min_shared)
-            .select(*PAIR_KEY, (F.col("shared") - 1).cast("long").alias("weight"),
-                    F.lit("coauthor").alias("kind")))
+    return subset_pair_counts(pp, names_col, min_shared, **kw).select(
+        *PAIR_KEY, (F.col("shared") - 1).cast("long").alias("weight"), F.lit("coauthor").alias("kind"))
 
 
 def profile_sizes(pp: DataFrame) -> DataFrame:
@@ -137,33 +102,26 @@ def with_profile_size(pp: DataFrame) -> DataFrame:
     return pp.join(profile_sizes(pp), "author_id")
 
 
-def split_coauthor_edges(pp: DataFrame, names_col: str = "names",
-                         subset_above: int = K.SUBSET_MATCH_PROFILE, **kw) -> DataFrame:
-    """GRF-01 for profiles up to ``subset_above`` papers, GRF-02 above it."""
-    sized = with_profile_size(pp)
-    small = sized.filter(F.col("n_papers") <= subset_above).drop("n_papers")
-    large = sized.filter(F.col("n_papers") > subset_above).drop("n_papers")
-    return coauthor_edges(small, names_col, **kw).unionByName(
-        subset_coauthor_edges(large, names_col, **kw))
-
-
 # --- FLT-01: drop oversized profiles ----------------------------------------
 def drop_large_profiles(pp: DataFrame, max_papers: int) -> DataFrame:
     return (with_profile_size(pp).filter(F.col("n_papers") <= max_papers).drop("n_papers"))
 
 
 # --- GRF-06: merge kinds, later kind overwrites the weight -------------------
-def typed_edges(pp: DataFrame, *, names_col="names", orgs_col="orgs", keywords_col="keywords",
-                venue_col="venue", subset_above: int = K.SUBSET_MATCH_PROFILE, **kw) -> DataFrame:
+NAME_RULES = {"exact": coauthor_edges, "subset": subset_coauthor_edges}
+
+
+def pair_edges(pp: DataFrame, *, names_col="names", orgs_col="orgs", keywords_col="keywords", name_rule: str = "exact",
+               **kw) -> DataFrame:
+    """Co-author, org and keyword edges; ``name_rule`` holds for all profiles, whatever their size."""
+    return (NAME_RULES[name_rule](pp, names_col, **kw).unionByName(org_edges(pp, orgs_col, **kw))
+            .unionByName(keyword_edges(pp, keywords_col, **kw)))
+
+
+def typed_edges(pp: DataFrame, *, venue_col="venue", **kw) -> DataFrame:
     """All four edge kinds as one typed edge list (author_id, src, dst, weight, kind)."""
-    parts = [split_coauthor_edges(pp, names_col, subset_above, **kw),
-             org_edges(pp, orgs_col, **kw),
-             venue_edges(pp, venue_col, **kw),
-             keyword_edges(pp, keywords_col, **kw)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    hot = {k: v for k, v in kw.items() if k == "hot_rows"}
+    return pair_edges(pp, **kw).unionByName(venue_edges(pp, venue_col, **hot))
 
 
 def merge_edges(typed: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ from papertrail.plans.registry import register
 from papertrail.sources.driver import (SQL_LINES, SQL_PAPER, SQL_PLINES, SQL_PROFILE,
                                        sql_with, profiles)
 
-# Thresholds scaled to the driver data (profiles hold 1-40 papers).
-SUBSET_ABOVE = 15
+# Scaled to the driver data (profiles hold 1-40 papers).
 MAX_PAPERS = 20
 
 _NAME_SQL = "lower(regexp_replace(s_name, '[^\\w\\s]', '', 'g'))"
@@ -44,25 +43,23 @@ FROM orgs a JOIN orgs b ON a.author_id = b.author_id AND a.elem = b.elem AND a.s
 GROUP BY a.author_id, a.seq, a.paper_id, b.seq, b.paper_id""")
 def jon_03(spark, sf_dir):
     """Shared-element counts of every pair of papers in one profile (orgs)."""
-    pp = graph_pp(spark, sf_dir)
-    return G.shared_counts(G.memberships(pp, F.col("orgs"))).select(
-        "author_id", "src", "dst", "shared")
+    return G.shared_counts(graph_input_table(spark, sf_dir), F.col("orgs")).select("author_id", "src", "dst", "shared")
 
 
 @register("grf_01", sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_NAMES) + _pairs_sql("names", 2, 1))
 def grf_01(spark, sf_dir):
     """Pairs of papers in one profile sharing >= 2 normalised co-author names."""
-    return _edges(G.coauthor_edges(graph_pp(spark, sf_dir)))
+    return _edges(G.coauthor_edges(graph_input_table(spark, sf_dir)))
 
 
 @register("grf_03", sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_ORGS) + _pairs_sql("orgs", 2, 1))
 def grf_03(spark, sf_dir):
-    return _edges(G.org_edges(graph_pp(spark, sf_dir)))
+    return _edges(G.org_edges(graph_input_table(spark, sf_dir)))
 
 
 @register("grf_05", sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_KWS) + _pairs_sql("kws", 1, 0))
 def grf_05(spark, sf_dir):
-    return _edges(G.keyword_edges(graph_pp(spark, sf_dir)))
+    return _edges(G.keyword_edges(graph_input_table(spark, sf_dir)))
 
 
 _VENUE_SQL = sql_with(SQL_PROFILE, SQL_LINES, SQL_PAPER, SQL_PP) + """
@@ -73,7 +70,7 @@ FROM pp a JOIN pp b ON a.author_id = b.author_id AND a.venue IS NOT DISTINCT FRO
 
 @register("grf_04", _VENUE_SQL)
 def grf_04(spark, sf_dir):
-    return _edges(G.venue_edges(graph_pp(spark, sf_dir)))
+    return _edges(G.venue_edges(graph_input_table(spark, sf_dir)))
 
 
 @register("jon_04", _VENUE_SQL)
@@ -100,11 +97,7 @@ def grf_04_cliques(spark, sf_dir):
 
 
 _SUBSET_SQL = sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES) + f"""
-, sized AS (SELECT author_id, count(*) AS n FROM profile GROUP BY author_id)
-, nm AS (
-  SELECT p.author_id, p.paper_id, p.seq, {_NAME_SQL} AS nm,
-         list_distinct(string_split({_NAME_SQL}, ' ')) AS toks
-  FROM plines p JOIN sized s ON s.author_id = p.author_id WHERE s.n > {SUBSET_ABOVE})
+, nm AS (SELECT author_id, paper_id, seq, list_distinct(string_split({_NAME_SQL}, ' ')) AS toks FROM plines)
 SELECT a.author_id, a.paper_id AS src, b.paper_id AS dst, CAST(count(*) - 1 AS BIGINT) AS weight
 FROM nm a JOIN nm b ON a.author_id = b.author_id AND a.seq <> b.seq
  AND len(list_filter(a.toks, lambda t: NOT list_contains(b.toks, t))) = 0
@@ -113,10 +106,8 @@ GROUP BY a.author_id, a.seq, a.paper_id, b.seq, b.paper_id HAVING count(*) >= 2"
 
 @register("grf_02", _SUBSET_SQL)
 def grf_02(spark, sf_dir):
-    """Token-subset co-author edges for profiles above the size switch."""
-    sized = G.with_profile_size(graph_pp(spark, sf_dir))
-    large = sized.filter(F.col("n_papers") > SUBSET_ABOVE).drop("n_papers")
-    return _edges(G.subset_coauthor_edges(large))
+    """Token-subset co-author edges of all profiles."""
+    return _edges(G.subset_coauthor_edges(graph_input_table(spark, sf_dir)))
 
 
 _SUBSET_COUNT_SQL = sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES) + f"""
@@ -130,27 +121,13 @@ GROUP BY a.author_id, a.seq, a.paper_id, b.seq, b.paper_id"""
 @register("jon_05", _SUBSET_COUNT_SQL)
 def jon_05(spark, sf_dir):
     """Token-subset join of all profiles: name pairs of two papers in which the first's tokens are among the second's."""
-    return G.subset_pair_counts(graph_pp(spark, sf_dir)).select("author_id", "src", "dst", "shared")
+    return G.subset_pair_counts(graph_input_table(spark, sf_dir)).select("author_id", "src", "dst", "shared")
 
 
 _MERGE_SQL = sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_PAPER, SQL_PP, SQL_NAMES, SQL_ORGS,
                       SQL_KWS) + f"""
-, sized AS (SELECT author_id, count(*) AS n FROM profile GROUP BY author_id)
-, nm AS (
-  SELECT p.author_id, p.paper_id, p.seq, list_distinct(string_split({_NAME_SQL}, ' ')) AS toks
-  FROM plines p JOIN sized s ON s.author_id = p.author_id WHERE s.n > {SUBSET_ABOVE})
-
-, names_small AS (
-  SELECT n.* FROM names n JOIN sized s ON s.author_id = n.author_id WHERE s.n <= {SUBSET_ABOVE})
-, co_small AS ({_pairs_sql("names_small", 2, 1)})
-, co_large AS (
-  SELECT a.author_id, a.paper_id AS src, b.paper_id AS dst, CAST(count(*) - 1 AS BIGINT) AS weight
-  FROM nm a JOIN nm b ON a.author_id = b.author_id AND a.seq <> b.seq
-   AND len(list_filter(a.toks, lambda t: NOT list_contains(b.toks, t))) = 0
-  GROUP BY a.author_id, a.seq, a.paper_id, b.seq, b.paper_id HAVING count(*) >= 2)
 , typed AS (
-  SELECT *, 1 AS p, 'coauthor' AS kind FROM co_small
-  UNION ALL SELECT *, 1, 'coauthor' FROM co_large
+  SELECT *, 1 AS p, 'coauthor' AS kind FROM ({_pairs_sql("names", 2, 1)})
   UNION ALL SELECT *, 2, 'org' FROM ({_pairs_sql("orgs", 2, 1)})
   UNION ALL SELECT a.author_id, a.paper_id, b.paper_id, CAST(1 AS BIGINT), 3, 'venue'
     FROM pp a JOIN pp b ON a.author_id = b.author_id AND a.venue IS NOT DISTINCT FROM b.venue AND a.seq <> b.seq
@@ -170,8 +147,7 @@ def graph_input_table(spark, sf_dir):
 @register("grf_06", _MERGE_SQL)
 def grf_06(spark, sf_dir):
     """All edge kinds merged; the highest-priority kind sets the weight."""
-    typed = G.typed_edges(graph_input_table(spark, sf_dir), subset_above=SUBSET_ABOVE)
-    return G.merge_edges(typed)
+    return G.merge_edges(G.typed_edges(graph_input_table(spark, sf_dir)))
 
 
 @register("set_05", _MERGE_SQL)
@@ -191,7 +167,7 @@ def grf_07(spark, sf_dir):
 SELECT author_id, src, dst, weight FROM ({_pairs_sql("names", 2, 1)})
 UNION ALL SELECT DISTINCT author_id, paper_id, paper_id, CAST(1 AS BIGINT) FROM profile""")
 def grf_08(spark, sf_dir):
-    pp = graph_pp(spark, sf_dir)
+    pp = graph_input_table(spark, sf_dir)
     nd = G.nodes(pp, [])
     return G.add_self_loops(G.coauthor_edges(pp), nd).select("author_id", "src", "dst", "weight")
 
@@ -209,5 +185,5 @@ SELECT author_id, paper_id, arg_max(label, seq) AS y FROM profile
 WHERE author_id IN (SELECT author_id FROM ({_pairs_sql("names", 2, 1)}))
 GROUP BY author_id, paper_id""")
 def flt_02(spark, sf_dir):
-    pp = graph_pp(spark, sf_dir)
+    pp = graph_input_table(spark, sf_dir)
     return G.drop_edgeless(G.nodes(pp, []), G.coauthor_edges(pp)).select("author_id", "paper_id", "y")

@@ -1,3 +1,7 @@
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from papertrail.operators import graph as G
@@ -22,8 +26,8 @@ def test_shared_names_threshold(spark):
 def test_salted_join_equals_plain(spark):
     rows = [(1, i, 100 + i, ["hub", f"n{i % 3}"], [], [], None) for i in range(12)]
     pp = _pp(spark, rows)
-    plain = sorted(map(tuple, G.shared_counts(G.memberships(pp, F.col("names")), hot_rows=10**9).collect()))
-    salted = sorted(map(tuple, G.shared_counts(G.memberships(pp, F.col("names")), hot_rows=2).collect()))
+    plain = sorted(map(tuple, G.shared_counts(pp, F.col("names"), hot_rows=10**9).collect()))
+    salted = sorted(map(tuple, G.shared_counts(pp, F.col("names"), hot_rows=2).collect()))
     assert plain == salted and len(plain) == 12 * 11
 
 
@@ -33,6 +37,76 @@ def test_subset_names_directed(spark):
     assert e == {(10, 11): 1}
 
 
+def _profiles(spark, rng, tokens):
+    """Random profiles with an own name in most papers, nulls, empty lists and repeated names."""
+    rows = []
+    for author in range(4):
+        own = " ".join(rng.sample(tokens, 2))
+        for seq in range(rng.randint(1, 14)):
+            names = [" ".join(rng.sample(tokens, rng.randint(1, 3))) for _ in range(rng.randint(0, 5))]
+            names += [own] * (rng.random() < .9) + [None] * (rng.random() < .2) + names[:1] * (rng.random() < .3)
+            rng.shuffle(names)
+            rows.append((author, seq, 100 * author + seq // 2, names, [], [], None))
+    return rows, _pp(spark, rows)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_overlaps_against_all_pairs(spark, least):
+    rows, pp = _profiles(spark, random.Random(least), list("abcdef"))
+    want, subset = {}, {}
+    for a, b in itertools.product(rows, rows):
+        if a[0] == b[0] and a[1] != b[1]:
+            one, two = ([n for n in r[3] if n is not None] for r in (a, b))
+            shared = len(set(one) & set(two))
+            within = sum(set(x.split(" ")) <= set(y.split(" ")) for x in one for y in two)
+            key = (a[0], a[1], a[2], b[1], b[2])
+            want |= {key: shared} if shared >= least else {}
+            subset |= {key: within} if within >= least else {}
+    for hot in (1, 3, 10**6):
+        got = {(r.author_id, r.src_seq, r.src, r.dst_seq, r.dst): r.shared
+               for r in G.shared_counts(pp, F.col("names"), least, hot_rows=hot).collect()}
+        assert got == want
+        got = {(r.author_id, r.src_seq, r.src, r.dst_seq, r.dst): r.shared
+               for r in G.subset_pair_counts(pp, "names", least, hot_rows=hot).collect()}
+        assert got == subset
+
+
+def _made(df, name):
+    """Rows that the joins named so put out, from the metrics of the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if name in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    return total
+
+
+@pytest.mark.parametrize("edges", [G.coauthor_edges, G.subset_coauthor_edges])
+def test_own_name_of_a_large_profile_forms_no_pair(spark, edges):
+    n = 50_000
+    pp = (spark.range(n).select(
+        F.lit(1).cast("long").alias("author_id"), F.col("id").alias("seq"), F.col("id").alias("paper_id"),
+        F.array(F.lit("own name"), F.concat(F.lit("co"), F.floor(F.col("id") / 2).cast("string"))).alias("names")))
+    df = edges(pp)
+    assert _made(df, "Join") < 20 * n  # all pairs of the own name would be 2.5e9
+    assert df.count() == n
+
+
+def test_token_in_every_name(spark):
+    n = 3000
+    pp = (spark.range(n).select(
+        F.lit(1).cast("long").alias("author_id"), F.col("id").alias("seq"), F.col("id").alias("paper_id"),
+        F.array(F.concat(F.lit("li a"), (F.col("id") % 1500).cast("string")), F.lit("li own")).alias("names")))
+    df = G.subset_coauthor_edges(pp)
+    assert df.count() == n and _made(df, "Join") < 20 * n
+
+
 def test_venue_null_and_empty(spark):
     pp = _pp(spark, [(1, i, 10 + i, [], [], [], v) for i, v in enumerate([None, None, "", ""])])
     e = sorted((r.src, r.dst) for r in G.venue_edges(pp).collect())
@@ -69,7 +143,6 @@ def test_generic_salted_join(spark):
 
 
 def test_edit_distance_blocking_exact(spark):
-    import itertools
     words = ["smith", "smyth", "smit", "smiths", "jones", "jonas", "", "a", "ab", "ba", "abc", "bca"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = {(r.a, r.b) for r in NM.edit_distance_pairs(df.withColumnRenamed("w", "a"),
