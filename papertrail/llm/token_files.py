@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papertrail.llm import _util as U
-from papertrail.llm.word_encoder import encoder, vocabulary_size
-from papertrail.session import materialize, scratch_path
+from papertrail.llm.word_encoder import encoder, forget, vocabulary_size
+from papertrail.session import scratch_path
 
-#: Ids in a block, and bytes of packed ids that one file should hold.
+#: Ids in a block, bytes of packed ids that one file should hold, and bytes of packed ids handed on at once.
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 128 << 20
+BATCH_BYTES = 4 << 20
 
 _MAGIC = b"IDPACK01"
 _TAIL = struct.Struct("<8s4Q")
@@ -190,16 +191,21 @@ def packed_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: st
         enc = encoder(tokenizer_path)
         row = 0
         for b in batches:
-            n, crc, packed = [], [], []
-            for text in b.column("text"):
+            n, crc, packed, size = [], [], [], 0
+            for k, text in enumerate(b.column("text")):
                 ids = np.append(np.frombuffer(enc.ids(text.as_py()), "<u4"), np.uint32(end_id))
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 packed.append(pack(ids, width))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(packed, pa.binary()),
-                 pa.array(range(row, row + len(n)), pa.int64())], names=["doc_id", "n_tokens", "crc", "ids", "row"])
-            row += len(n)
+                size += len(packed[-1])
+                if size >= BATCH_BYTES or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").slice(k + 1 - len(n), len(n)), pa.array(n, pa.int64()),
+                         pa.array(crc, pa.int64()), pa.array(packed, pa.binary()),
+                         pa.array(range(row, row + len(n)), pa.int64())],
+                        names=["doc_id", "n_tokens", "crc", "ids", "row"])
+                    row += len(n)
+                    n, crc, packed, size = [], [], [], 0
 
     return U.texts(df, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, crc long, ids binary, row long")
@@ -212,7 +218,11 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, bloc
     spark = df.sparkSession
     folder = _uri(spark, folder)
     width = width_of(max(vocabulary_size(tokenizer_path), end_id + 1))
-    docs = materialize(packed_documents(df, tokenizer_path, end_id, **cols), "packed-ids")
+    path = scratch_path(spark, "packed-ids")
+    # bits without repetition: no dictionary, and small groups of rows, which a task holds whole
+    (packed_documents(df, tokenizer_path, end_id, **cols).write.option("parquet.enable.dictionary", "false")
+     .option("parquet.block.size", 16 << 20).parquet(path))
+    docs = spark.read.parquet(path)
     total = docs.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     files = max(-(-total // file_bytes), U.parallelism(df))
     # rows that are equal in all but their place are the same to every reader, so a range may end between them
@@ -220,18 +230,19 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, bloc
     ordered = docs.repartitionByRange(int(files), *key).sortWithinPartitions(*key)
 
     def run(batches):
+        forget()  # the words that this worker has encoded in earlier tasks
         context = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         name = f"{base}/ids-{context.partitionId():08d}"
         attempt = f"{name}.{context.taskAttemptId()}.tmp"
         sink = None
         for b in batches:
-            for doc_id, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids"))):
+            for doc_id, n, ids in zip(*(b.column(c) for c in ("doc_id", "n_tokens", "ids"))):
                 if sink is None:
                     store.create_dir(base, recursive=True)
                     sink = store.open_output_stream(attempt)
                     out = Writer(sink, width, block)
-                out.add(doc_id, unpack(ids, width, n))
+                out.add(doc_id.as_py(), unpack(ids.as_py(), width, n.as_py()))
         if sink is not None:
             size = out.close()
             sink.close()

@@ -16,7 +16,7 @@ import sys
 from array import array
 
 #: Words in a generation; longer words (bytes) are not remembered.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 LONG_WORD = 256
 
 # The steps before the model that are done here, as tokenizer files state them.
@@ -122,6 +122,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Frees the words that this process remembers."""
+    _ENCODERS.clear()
+
+
 def vocabulary_size(path: str) -> int:
     """Ids that the tokenizer can give, added tokens included."""
     with open(path, encoding="utf-8") as f:
