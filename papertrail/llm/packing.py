@@ -16,10 +16,7 @@ gives no rows; a null id stays null; other columns are not read.
 
 from __future__ import annotations
 
-import os
-import sys
 import zlib
-from array import array
 from bisect import bisect_left
 from dataclasses import dataclass
 
@@ -30,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papertrail.llm import _util as U
+from papertrail.llm.word_encoder import encoder
 from papertrail.session import materialize
 
 #: Fillings that the search may look at, over all its branches, before it keeps its incumbent; steps of the path that
@@ -37,55 +35,6 @@ from papertrail.session import materialize
 NODES = 4_000
 HELD = 64
 RANKED = 50_000
-#: Distinct stretches of visible text that a worker remembers.
-REMEMBERED = 900_000
-LONG_WORD = 256
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-class Encoder:
-    """ids of texts; no match of the split pattern crosses white space, so equal words are encoded once."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.encode().split() for t in texts]  # splits at ASCII white space only
-        wanted = set().union(*cut) - self.known.keys() if cut else set()
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {}
-            wanted = set().union(*cut)
-        todo = list(wanted)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i:i + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, _packed(e.ids)) for w, e in zip(part, got))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for w in todo:
-            if len(w) > LONG_WORD:
-                del self.known[w]
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
 
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
@@ -95,11 +44,11 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = _encoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for d, ids in zip(b.column("doc_id").to_pylist(), enc.ids(b.column("text").to_pylist())):
-                ids += end
+            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = enc.ids(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     doc.append(d)
