@@ -304,7 +304,15 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "quality
     return fit(vectors, pooled, np.array([r[1] for r in got], int), apart)
 
 
-_POOLERS: dict[int, Pooler] = {}
+#: The model that this worker scores with, and its pooler.
+_POOLERS: list[tuple[Model, Pooler]] = []
+
+
+def _pooler(model: Model) -> Pooler:
+    """The pooler of this very model; the model is held, so no later one can take its identity."""
+    if not _POOLERS or _POOLERS[0][0] is not model:
+        _POOLERS[:] = [(model, Pooler(model.vectors))]
+    return _POOLERS[0][1]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -316,11 +324,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def of(texts: list[str]) -> np.ndarray:
         m = shared.value
-        if id(m) not in _POOLERS:
-            _POOLERS.clear()
-            _POOLERS[id(m)] = Pooler(m.vectors)
-        pooler = _POOLERS[id(m)]
-        return m.scores(pooler.pool(texts))
+        return m.scores(_pooler(m).pool(texts))
 
     if keep:
         at = df.columns.index(text_col)

@@ -335,3 +335,21 @@ def test_run_query(spark):
     assert len(got) == 200
     for d, t in rows:
         assert got[d] == _plain_summary(d, t, queries.planted_period)
+
+
+def test_a_worker_scores_with_the_model_it_is_given(spark):
+    import dataclasses
+
+    from pyspark.sql import functions as F
+
+    from papertrail.llm import quality
+    docs = spark.createDataFrame([(i, ("good clear words " if i % 2 else "bad junk noise ") * 5) for i in range(80)],
+                                 "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.lit(True))
+    for k in range(6):  # each turned model would answer like the one before if a stale pooler or model were kept
+        turned = dataclasses.replace(model, w2=model.w2 * (-1) ** k, b2=model.b2 * (-1) ** k,
+                                     vectors=model.vectors.copy())
+        scores = {r.doc_id: r.score for r in quality.score(docs, turned).collect()}
+        assert (scores[1] > scores[0]) == (k % 2 == 0)
+        del turned
