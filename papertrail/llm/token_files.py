@@ -12,10 +12,10 @@ first.  A file has, one after the other:
 So the ids from any place on are read by one seek, and a block is unpacked by a few numpy operations.  The manifest, a
 Parquet table beside the files, has for each file its path and the number of ids in all files before it.
 
-Every document's ids are packed where its text is read; Spark then deals the packed documents by ranges of doc_id, and each
-task writes its range as one file.  Equal doc_ids are ordered by length and checksum of their ids, and a range may end between
-them, so no doc_id gathers its rows in one task.  A file is written under a name of its attempt and then renamed, so a
-repeated task replaces it whole.  The folder must be one that pyarrow's file systems reach (a shared mount, HDFS, S3, ...).
+Ranges of doc_id of about as many bytes are bounded by a sample of keys.  Every document's ids are packed where its text is
+read and dealt by range, and each range is written as one file.  Rows of equal doc_id are ordered by a hash of their text (equal
+rows in any order), and a range may end between them, so no doc_id gathers its rows in one task.  A file is written under a
+name of its attempt and then renamed, so a repeated task replaces it whole.  The folder must be one that pyarrow's file systems reach (a shared mount, HDFS, S3, ...).
 
 Contract: null and empty texts have the closing id alone; repeated rows are each written; null ids come first; other
 columns are not read; an empty table gives no file and no row.
@@ -27,6 +27,7 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ from papertrail.session import scratch_path
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 128 << 20
 BATCH_BYTES = 4 << 20
+#: Keys that the bounds are drawn from, for each file.
+KEYS = 100
 
 _MAGIC = b"IDPACK01"
 _TAIL = struct.Struct("<8s4Q")
@@ -181,79 +184,87 @@ def _uri(spark: SparkSession, folder: str) -> str:
     return default.rstrip("/").replace("file:", "file://") + folder
 
 
-def packed_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, crc, ids (packed), row: the ids of every text with ``end_id``, packed where the text is read."""
-    U.share(df.sparkSession)
-    width = width_of(max(vocabulary_size(tokenizer_path), end_id + 1))
-
-    def run(batches):
-        enc = encoder(tokenizer_path)
-        row = 0
-        for b in batches:
-            n, crc, packed, size = [], [], [], 0
-            for k, text in enumerate(b.column("text")):
-                ids = np.append(np.frombuffer(enc.ids(text.as_py()), "<u4"), np.uint32(end_id))
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                packed.append(pack(ids, width))
-                size += len(packed[-1])
-                if size >= BATCH_BYTES or k == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").slice(k + 1 - len(n), len(n)), pa.array(n, pa.int64()),
-                         pa.array(crc, pa.int64()), pa.array(packed, pa.binary()),
-                         pa.array(range(row, row + len(n)), pa.int64())],
-                        names=["doc_id", "n_tokens", "crc", "ids", "row"])
-                    row += len(n)
-                    n, crc, packed, size = [], [], [], 0
-
-    return U.texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, crc long, ids binary, row long")
+def _bounds(keyed: DataFrame, files: int) -> list[tuple]:
+    """Keys that part the corpus into ranges of about as many bytes, from a sample of a bounded number of keys."""
+    n = keyed.count()
+    share = min(1.0, KEYS * files / max(n, 1))
+    got = keyed.select("doc_id", "tie", "row", F.octet_length("text").alias("bytes")).sample(share, seed=1).collect()
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["tie"], r["row"]), r["bytes"] + 1) for r in got)
+    each, out, held = sum(x for _, x in got) / files, [], 0
+    for key, size in got:
+        if held >= each * (len(out) + 1):
+            out.append(key)
+        held += size
+    return out
 
 
 def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, block: int = BLOCK_IDS,
-          file_bytes: int = FILE_BYTES, **cols) -> DataFrame:
+          file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and their manifest under ``folder`` and returns the manifest: file, path, n_docs, n_ids, n_bytes,
     first (the ids in all files before)."""
     spark = df.sparkSession
     folder = _uri(spark, folder)
     width = width_of(max(vocabulary_size(tokenizer_path), end_id + 1))
-    path = scratch_path(spark, "packed-ids")
-    # bits without repetition: no dictionary, and small groups of rows, which a task holds whole
-    (packed_documents(df, tokenizer_path, end_id, **cols).write.option("parquet.enable.dictionary", "false")
-     .option("parquet.block.size", 16 << 20).parquet(path))
-    docs = spark.read.parquet(path)
-    total = docs.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    keyed = U.texts(df, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("tie"),
+                                                 F.monotonically_increasing_id().alias("row"))
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a text packs into fewer bytes than it has
     files = max(-(-total // file_bytes), U.parallelism(df))
-    # rows that are equal in all but their place are the same to every reader, so a range may end between them
-    key = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("crc"), F.col("row")]
-    ordered = docs.repartitionByRange(int(files), *key).sortWithinPartitions(*key)
+    bounds = spark.sparkContext.broadcast(_bounds(keyed, files))  # a key for each file
+
+    def packed(batches):
+        enc = encoder(tokenizer_path)
+        for b in batches:
+            file, n, out, size = [], [], [], 0
+            for k, (doc_id, text, tie, row) in enumerate(zip(*(b.column(c) for c in ("doc_id", "text", "tie", "row")))):
+                ids = np.append(np.frombuffer(enc.ids(text.as_py()), "<u4"), np.uint32(end_id))
+                key = (doc_id.is_valid, doc_id.as_py() or 0, tie.as_py(), row.as_py())
+                file.append(bisect_right(bounds.value, key))
+                n.append(len(ids))
+                out.append(pack(ids, width))
+                size += len(out[-1])
+                if size >= BATCH_BYTES or k == b.num_rows - 1:
+                    part = b.slice(k + 1 - len(n), len(n))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(file, pa.int32()), *(part.column(c) for c in ("doc_id", "tie", "row")),
+                         pa.array(n, pa.int64()), pa.array(out, pa.binary())],
+                        names=["file", "doc_id", "tie", "row", "n_tokens", "ids"])
+                    file, n, out, size = [], [], [], 0
+
+    order = [F.col("file"), F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    ordered = (keyed.mapInArrow(packed, "file int, doc_id long, tie long, row long, n_tokens long, ids binary")
+               .repartition(int(files), "file").sortWithinPartitions(*order))
 
     def run(batches):
         forget()  # the words that this worker has encoded in earlier tasks
-        context = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
-        name = f"{base}/ids-{context.partitionId():08d}"
-        attempt = f"{name}.{context.taskAttemptId()}.tmp"
-        sink = None
+        attempt = TaskContext.get().taskAttemptId()
+        sink = out = number = None
+
+        def finished():
+            size = out.close()
+            sink.close()
+            path = f"{base}/ids-{number:08d}.bin"
+            store.move(f"{path}.{attempt}.tmp", path)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in ((number, pa.int32()), (path, pa.string()), (len(out.docs), pa.int64()),
+                                               (out.n_ids, pa.int64()), (size, pa.int64()))],
+                names=["file", "path", "n_docs", "n_ids", "n_bytes"])
+
         for b in batches:
-            for doc_id, n, ids in zip(*(b.column(c) for c in ("doc_id", "n_tokens", "ids"))):
-                if sink is None:
+            for file, doc_id, n, ids in zip(*(b.column(c) for c in ("file", "doc_id", "n_tokens", "ids"))):
+                if file.as_py() != number:
+                    if sink is not None:
+                        yield finished()
+                    number = file.as_py()
                     store.create_dir(base, recursive=True)
-                    sink = store.open_output_stream(attempt)
+                    sink = store.open_output_stream(f"{base}/ids-{number:08d}.bin.{attempt}.tmp")
                     out = Writer(sink, width, block)
                 out.add(doc_id.as_py(), unpack(ids.as_py(), width, n.as_py()))
         if sink is not None:
-            size = out.close()
-            sink.close()
-            store.move(attempt, f"{name}.bin")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((context.partitionId(), pa.int32()), (f"{name}.bin", pa.string()),
-                                               (len(out.docs), pa.int64()), (out.n_ids, pa.int64()),
-                                               (size, pa.int64()))],
-                names=["file", "path", "n_docs", "n_ids", "n_bytes"])
+            yield finished()
 
-    written = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(
+    written = ordered.select("file", "doc_id", "n_tokens", "ids").mapInArrow(
         run, "file int, path string, n_docs long, n_ids long, n_bytes long")
     written.write.parquet(f"{folder}/files")
     files_table = spark.read.parquet(f"{folder}/files")  # a row for each file

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 
 from papertrail.llm import conversations, lattice, periodic_runs, queries, token_files, word_encoder
 from tests.conftest import SF
@@ -208,10 +209,12 @@ def test_word_encoder_equals_library(remembered):
 
 def _plain_files(rows):
     """doc_id, start, n_tokens, crc in ascending order."""
-    docs = sorted(((d, np.array([*_ids(t), 1], "<u4")) for d, t in rows),
-                  key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), zlib.crc32(x[1].tobytes())))
+    def tie(text):
+        return int(np.array([xxhash.xxh64_intdigest((text or "").encode(), 42)], np.uint64).view(np.int64)[0])
+
     out, start = [], 0
-    for d, ids in docs:
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1]))):
+        ids = np.array([*_ids(t), 1], "<u4")
         out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     return out
