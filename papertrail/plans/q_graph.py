@@ -156,13 +156,6 @@ def set_05(spark, sf_dir):
     return grf_06(spark, sf_dir)
 
 
-@register("grf_07", sql_with(SQL_PROFILE) + """
-SELECT author_id, paper_id, arg_max(label, seq) AS y FROM profile GROUP BY author_id, paper_id""")
-def grf_07(spark, sf_dir):
-    pr = profiles(spark, sf_dir)
-    return G.nodes(pr, []).select("author_id", "paper_id", "y")
-
-
 @register("grf_08", sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_NAMES) + f"""
 SELECT author_id, src, dst, weight FROM ({_pairs_sql("names", 2, 1)})
 UNION ALL SELECT DISTINCT author_id, paper_id, paper_id, CAST(1 AS BIGINT) FROM profile""")
