@@ -2,40 +2,28 @@
 
 AUC per group is the Mann-Whitney statistic:
     sum over distinct scores s of pos(s) * (neg_below(s) + neg(s) / 2) / (P * N).
-Counting per (group, score) is a partial aggregation.  The running count of
-negatives is split in two levels so that no task holds a whole group: scores are
-bucketed per group (min/max scaled, ``buckets`` wide), a window runs over at
-most ``buckets`` rows per group, and a second window runs over the distinct
-scores inside one (group, bucket).
+Counting per (group, score) is a partial aggregation, so tied scores are one row.  The
+running count of negatives is taken in two levels over ranges of (group, score) of about
+equal depth (``ranks``), however narrow a band the scores lie in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-AUC_BUCKETS = 1024
+from papertrail.operators import ranks as R
 
 
 def group_auc(df: DataFrame, group: str = "author_id", label: str = "label",
-              score: str = "score", buckets: int = AUC_BUCKETS) -> DataFrame:
+              score: str = "score", ranges: int | None = None) -> DataFrame:
     """(group, auc, n_pos, n_neg); auc is NULL when a group has one class only."""
     s = df.select(group, F.col(label).cast("long").alias("y"), F.col(score).cast("double").alias("s")) \
           .filter(F.col("s").isNotNull() & F.col("y").isNotNull())
     per = s.groupBy(group, "s").agg(F.sum("y").alias("pos"),
                                     F.sum(1 - F.col("y")).alias("neg"))
-    rng = per.groupBy(group).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    per = per.join(rng, group).withColumn(
-        "b", F.when(F.col("hi") > F.col("lo"),
-                    F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-                            F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-    bneg = per.groupBy(group, "b").agg(F.sum("neg").alias("bn"))
-    bneg = bneg.withColumn("before_b", F.coalesce(F.sum("bn").over(
-        Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.withColumn("before_in", F.coalesce(F.sum("neg").over(
-        Window.partitionBy(group, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.join(bneg.select(group, "b", "before_b"), [group, "b"])
-    contrib = F.col("pos") * (F.col("before_b") + F.col("before_in") + F.col("neg") / 2.0)
+    per = R.running_sum(per, [group], ["s"], "neg", "before", ranges)
+    contrib = F.col("pos") * (F.col("before") + F.col("neg") / 2.0)
     agg = per.groupBy(group).agg(F.sum(contrib).alias("u"), F.sum("pos").alias("n_pos"),
                                  F.sum("neg").alias("n_neg"))
     return agg.select(group, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),

@@ -65,4 +65,6 @@ def test_compose_text(spark):
     t = df.select(T.compose_text("title", "abstract", "keywords", "venue", "year")).first()[0]
     assert t.startswith("title:None abstract:xxx")
     assert t.endswith("keywords:None venue:None year:2001")
-    assert len(t.split(" ")[1]) == K.ABSTRACT_CHARS
+    assert len(t.split(" ")[1]) == len("abstract:") + 400
+    cut = df.select(T.compose_text("title", "abstract", "keywords", "venue", "year", K.ABSTRACT_CHARS)).first()[0]
+    assert len(cut.split(" ")[1]) == K.ABSTRACT_CHARS
