@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from papertrail import constants as K
 from papertrail.functions.similarity import best_index_arrow, jaro_winkler, jaro_winkler_arrow
 from papertrail.functions.text import py_str
+from papertrail.operators.skew import HOT_ROWS, salted_join
 
 TOPK_SALTS = 32
 
@@ -67,29 +68,49 @@ def best_match(authors: Column, target: Column, *, name_field: str = "name",
     return F.aggregate(authors, init, step)["v"]
 
 
-def jw(a: Column, b: Column, method: str = "arrow") -> Column:
-    return jaro_winkler_arrow(a, b) if method == "arrow" else jaro_winkler(a, b)
-
-
 def with_matched_org(pp: DataFrame, authors_col: str = "authors", name_col: str = "name",
                      out: str = "matched_org", method: str = "arrow") -> DataFrame:
     return pp.withColumn(out, best_match(F.col(authors_col), F.col(name_col), method=method))
 
 
+def scored_pairs(pairs: DataFrame, a: str = "a", b: str = "b", method: str = "expr") -> DataFrame:
+    """(a, b, jw): Jaro-Winkler of every distinct pair, once each, as a JVM expression or (``arrow``) in Arrow batches."""
+    score = jaro_winkler_arrow if method == "arrow" else jaro_winkler
+    return pairs.select(a, b).distinct().withColumn("jw", score(F.col(a), F.col(b)))
+
+
 def profile_similarity(pp: DataFrame, topk: DataFrame, value: Column, prefix: str,
                        guard: Column | None = None, top_as_str: bool = False,
-                       group: str = "author_id", method: str = "arrow") -> DataFrame:
+                       group: str = "author_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """SIM-04..06 with JON-02: Jaro-Winkler of each row's value against the
     group's top-k values; max, min, mean and max-min, 0 when guarded out or
-    when the group has no top values.  Returns (group, seq, 4 columns)."""
-    rows = pp.select(group, "seq", value.alias("_v"),
-                     (guard if guard is not None else F.lit(True)).alias("_ok"))
+    when the group has no top values.  Returns (group, seq, 4 columns).
+
+    Rows are first reduced to the distinct values of a group, and those with their top values to the distinct pairs of all
+    groups; a pair is scored once, however many profiles hold it, and the scores find back by value."""
+    rows = pp.select(group, "seq", F.when(guard if guard is not None else F.lit(True), value).alias("_v"))
     top = topk.select(group, (py_str(F.col("value")) if top_as_str else F.col("value")).alias("_t"))
-    j = rows.join(top, group, "left").withColumn(
-        "_s", F.when(F.col("_ok"), jw(F.col("_v"), F.col("_t"), method)))
-    agg = j.groupBy(group, "seq").agg(F.max("_s").alias("mx"), F.min("_s").alias("mn"),
-                                      F.avg("_s").alias("av"))
+    held = rows.filter("_v is not null").select(group, "_v").distinct()
+    asked = held.join(top.filter("_t is not null"), group)
+    scores = scored_pairs(asked, "_v", "_t")
+    agg = (salted_join(asked, scores, ["_v", "_t"], [group], hot_rows).groupBy(group, "_v")
+           .agg(F.max("jw").alias("mx"), F.min("jw").alias("mn"), F.avg("jw").alias("av")))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return agg.select(group, "seq", z("mx").alias(f"max_jaro_{prefix}"),
-                      z("mn").alias(f"min_jaro_{prefix}"), z("av").alias(f"mean_jaro_{prefix}"),
-                      (z("mx") - z("mn")).alias(f"max_min_jaro_{prefix}"))
+    return rows.join(agg, [group, "_v"], "left").select(
+        group, "seq", z("mx").alias(f"max_jaro_{prefix}"), z("mn").alias(f"min_jaro_{prefix}"),
+        z("av").alias(f"mean_jaro_{prefix}"), (z("mx") - z("mn")).alias(f"max_min_jaro_{prefix}"))
+
+
+def matched_orgs(pp: DataFrame, authors_col: str = "authors", name_col: str = "name", group: str = "author_id",
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """SIM-03: (group, seq, matched_org): the org of the first co-author whose lower-cased name is most like the profile's.
+
+    Each distinct (co-author name, profile name) is scored once; the best of a paper is a maximum of (score, -position),
+    so the paper's co-authors need not meet in one row.  Papers without named co-authors have no row.  Worth its shuffles
+    where the same names meet the same profiles often; :func:`with_matched_org` compares row by row."""
+    each = pp.select(group, "seq", F.col(name_col).alias("_t"), F.posexplode(authors_col).alias("_pos", "_a")).select(
+        group, "seq", "_t", "_pos", F.lower("_a.name").alias("_who"), F.coalesce("_a.org", F.lit("")).alias("_org"))
+    each = each.filter("_who is not null and _t is not null")
+    scores = scored_pairs(each, "_who", "_t", "arrow")
+    return (salted_join(each, scores, ["_who", "_t"], [group, "seq"], hot_rows).groupBy(group, "seq")
+            .agg(F.max_by("_org", F.struct("jw", -F.col("_pos"))).alias("matched_org")))

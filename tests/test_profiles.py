@@ -35,3 +35,29 @@ def test_profile_similarity_zero_without_value(spark):
     r = {x["seq"]: x for x in sim.collect()}
     assert r[0]["max_jaro_venue"] == 0.0
     assert r[1]["max_jaro_venue"] > 0.9
+
+
+def test_similarity_scores_each_pair_once(spark):
+    """2 000 profiles that hold seven years in all: 49 pairs are scored, not one for each paper and top year."""
+    pp = spark.range(20_000).select((F.col("id") % 2000).alias("author_id"), F.col("id").alias("seq"),
+                                    (1990 + F.pmod(F.xxhash64("id"), F.lit(7))).cast("string").alias("year"))
+    top = P.top_k_values(pp, "year")
+    asked = pp.select("author_id", F.col("year").alias("a")).join(top.select("author_id", F.col("value").alias("b")), "author_id")
+    assert P.scored_pairs(asked).count() <= 49
+    got = {(r.author_id, r.seq): r.max_jaro_year for r in P.profile_similarity(pp, top, F.col("year"), "year").collect()}
+    assert len(got) == 20_000 and set(got.values()) <= {1.0, *(v for v in got.values() if v < 1)}
+    plan = P.profile_similarity(pp, top, F.col("year"), "year")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_matched_orgs_equals_row_form(spark):
+    import random
+    rnd = random.Random(3)
+    names = ["li wei", "Li Wei", "wei li", "zhang", "", None, "l. wei"]
+    rows = [(a, s, rnd.choice(["li wei", "zhang san"]), [(rnd.choice(names), rnd.choice(["A", "B", None]))
+             for _ in range(rnd.randint(0, 4))]) for a in range(5) for s in range(12)]
+    df = spark.createDataFrame(rows, "author_id long, seq long, name string, authors array<struct<name:string,org:string>>")
+    want = {(r.author_id, r.seq): r.matched_org for r in P.with_matched_org(df, method="expr").collect()}
+    for hot in (1, 10**6):
+        got = {(r.author_id, r.seq): r.matched_org for r in P.matched_orgs(df, hot_rows=hot).collect()}
+        assert {k: got.get(k) for k in want} == want
