@@ -150,10 +150,15 @@ def grf_06(spark, sf_dir):
     return G.merge_edges(G.typed_edges(graph_input_table(spark, sf_dir)))
 
 
-@register("set_05", _MERGE_SQL)
+@register("set_05", sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_NAMES, SQL_KWS) + f"""
+, a AS ({_pairs_sql("names", 2, 1)}), b AS ({_pairs_sql("kws", 1, 0)})
+SELECT coalesce(b.author_id, a.author_id) AS author_id, coalesce(b.src, a.src) AS src, coalesce(b.dst, a.dst) AS dst,
+  coalesce(b.weight, a.weight) AS weight, CASE WHEN b.src IS NULL THEN 'coauthor' ELSE 'keyword' END AS kind
+FROM a FULL JOIN b ON b.author_id = a.author_id AND b.src = a.src AND b.dst = a.dst""")
 def set_05(spark, sf_dir):
-    """Edge-set union with overwrite (same result as GRF-06, built by union + max_by)."""
-    return grf_06(spark, sf_dir)
+    """Union of two edge sets, the later one overwriting the weight of an edge that both hold."""
+    pp = graph_input_table(spark, sf_dir)
+    return G.merge_edges(G.coauthor_edges(pp).unionByName(G.keyword_edges(pp)))
 
 
 @register("grf_08", sql_with(SQL_PROFILE, SQL_LINES, SQL_PLINES, SQL_NAMES) + f"""

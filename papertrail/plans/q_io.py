@@ -22,10 +22,15 @@ def _profiles_back(spark, sf, labelled=True):
     return IO.read_profiles_lines(spark, path, labelled=labelled)
 
 
-@register("src_01", PROFILE_SQL + f"""
-SELECT CAST(author_id AS VARCHAR) AS author_id, name, CAST(seq // {IO.CHUNK} AS BIGINT) AS part,
+#: Profile rows with their part and order: papers are parted by rank.
+PARTS_SQL = PROFILE_SQL + f""", ranked AS (SELECT *, (row_number() OVER (PARTITION BY author_id ORDER BY seq) - 1)
+  // {IO.CHUNK} AS part FROM profile)"""
+
+
+@register("src_01", PARTS_SQL + """
+SELECT CAST(author_id AS VARCHAR) AS author_id, name, CAST(part AS BIGINT) AS part,
   CAST(sum(label) AS BIGINT) AS n_normal, CAST(sum(1 - label) AS BIGINT) AS n_outliers
-FROM profile GROUP BY author_id, name, seq // {IO.CHUNK}""")
+FROM ranked GROUP BY author_id, name, part""")
 def src_01(spark, sf):
     """Labelled profiles written as JSON lines and read back with a declared schema."""
     p = _profiles_back(spark, sf)
@@ -33,11 +38,11 @@ def src_01(spark, sf):
                     F.size("outliers").cast("long").alias("n_outliers"))
 
 
-@register("prj_01", PROFILE_SQL + f"""
+@register("prj_01", PARTS_SQL + f"""
 SELECT CAST(author_id AS VARCHAR) AS author_id, CAST(paper_id AS VARCHAR) AS paper_id, label,
-  CAST((1 - label)::BIGINT * {1 << 62} + (seq // {IO.CHUNK}) * {1 << 20}
-       + row_number() OVER (PARTITION BY author_id, seq // {IO.CHUNK}, label ORDER BY seq) - 1 AS BIGINT) AS seq
-FROM profile""")
+  CAST((1 - label)::BIGINT * {1 << 62} + part * {1 << 20}
+       + row_number() OVER (PARTITION BY author_id, part, label ORDER BY seq) - 1 AS BIGINT) AS seq
+FROM ranked""")
 def prj_01(spark, sf):
     """Labelled flatten (positives, then outliers) of the re-read profiles; the
     carried ``seq`` orders rows as the lists do (no window needed)."""
@@ -52,10 +57,12 @@ def src_02(spark, sf):
     return IO.flatten_unlabelled(_profiles_back(spark, sf, labelled=False)).select("author_id", "paper_id")
 
 
-@register("prj_02", PROFILE_SQL + """
-SELECT CAST(author_id AS VARCHAR) AS author_id, CAST(paper_id AS VARCHAR) AS paper_id FROM profile""")
+@register("prj_02", PARTS_SQL + f"""
+SELECT CAST(author_id AS VARCHAR) AS author_id, name, CAST(paper_id AS VARCHAR) AS paper_id, CAST(part * {1 << 20}
+  + row_number() OVER (PARTITION BY author_id, part ORDER BY seq) - 1 AS BIGINT) AS seq FROM ranked""")
 def prj_02(spark, sf):
-    return src_02(spark, sf)
+    """Unlabelled flatten of the re-read profiles with the order that the lists have."""
+    return IO.flatten_unlabelled(_profiles_back(spark, sf, labelled=False)).select("author_id", "name", "paper_id", "seq")
 
 
 @register("src_03", sql_with(SQL_LINES, SQL_PAPER) + """
@@ -95,9 +102,12 @@ def src_04(spark, sf):
     return _long(IO.read_paper_vectors(spark, path))
 
 
-@register("snk_02", _VEC_SQL)
+@register("snk_02", "SELECT o_orderkey AS paper_id, CAST(2 AS INTEGER) AS components FROM orders")
 def snk_02(spark, sf):
-    return src_04(spark, sf)
+    """The written paper table: its keys, and the components of every vector as the files hold them."""
+    path = scratch_path(spark, "paper_vec")
+    IO.write_paper_vectors(_paper_vec(spark, sf), path)
+    return spark.read.parquet(path).select("paper_id", F.size("vec").alias("components"))
 
 
 _SCORE_SQL = sql_with(SQL_PROFILE) + """
@@ -105,24 +115,30 @@ SELECT CAST(pr.author_id AS VARCHAR) AS author_id, CAST(pr.paper_id AS VARCHAR)
   round(o.o_totalprice / 600000.0, 6) AS score FROM profile pr JOIN orders o ON o.o_orderkey = pr.paper_id"""
 
 
-def _scores_back(spark, sf):
+def _write_scores(spark, sf):
     s = D.profiles(spark, sf).join(D.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("paper_id"), (F.col("o_totalprice") / 600000.0).alias("score")), "paper_id")
     path = scratch_path(spark, "scores")
     IO.write_scores(s.select("author_id", "paper_id", "score", "seq"), path, order_col="seq")
-    r = IO.read_scores(spark, path)
-    return r.select("author_id", "paper_id", r6(F.col("score")).alias("score"))
+    return path
 
 
 @register("src_05", _SCORE_SQL)
 def src_05(spark, sf):
     """Score maps {author: {paper: p}} written (SNK-01) and read back."""
-    return _scores_back(spark, sf)
+    r = IO.read_scores(spark, _write_scores(spark, sf))
+    return r.select("author_id", "paper_id", r6(F.col("score")).alias("score"))
 
 
-@register("snk_01", _SCORE_SQL)
+@register("snk_01", _SCORE_SQL.replace("SELECT CAST(pr.author_id", "SELECT author_id, CAST((rk - 1) // 4096 AS INTEGER) AS part, "
+          "count(*) AS papers, round(sum(score), 6) AS total FROM (SELECT row_number() OVER (PARTITION BY pr.author_id "
+          "ORDER BY pr.paper_id) AS rk, CAST(pr.author_id").replace("round(o.o_totalprice / 600000.0, 6)", "o.o_totalprice / 600000.0")
+          + ") GROUP BY author_id, part")
 def snk_01(spark, sf):
-    return _scores_back(spark, sf)
+    """The records as written: one for each author and part, with the papers of its map and the sum of their scores."""
+    records = spark.read.schema("author_id string, part int, scores map<string,double>").json(_write_scores(spark, sf))
+    total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda s, v: s + v)
+    return records.select("author_id", "part", F.size("scores").cast("long").alias("papers"), r6(total).alias("total"))
 
 
 _CSV_SQL = sql_with(SQL_PROFILE) + """
@@ -130,10 +146,14 @@ SELECT pr.author_id, pr.paper_id, pr.seq, round(o.o_totalprice / 100000.0, 6) AS
   round((year(o.o_orderdate) - 1995) / 5.0, 6) AS w2v_1 FROM profile pr JOIN orders o ON o.o_orderkey = pr.paper_id"""
 
 
-def _csv_back(spark, sf):
+def _csv_written(spark, sf):
     v = D.profiles(spark, sf).join(_paper_vec(spark, sf), "paper_id")
     path = scratch_path(spark, "vec_csv")
     IO.write_vectors_csv(v, path, ["author_id", "paper_id", "seq"], "vec", 2)
+    return path
+
+
+def _csv_read(spark, path):
     r = IO.read_vectors_csv(spark, path, "author_id long, paper_id long, seq long", 2)
     return r.select("author_id", "paper_id", "seq", r6(F.col("w2v_0")).alias("w2v_0"),
                     r6(F.col("w2v_1")).alias("w2v_1"))
@@ -142,12 +162,20 @@ def _csv_back(spark, sf):
 @register("src_06", _CSV_SQL)
 def src_06(spark, sf):
     """Dense vectors as keyed CSV (SNK-03) read back with a declared schema."""
-    return _csv_back(spark, sf)
+    return _csv_read(spark, _csv_written(spark, sf))
 
 
-@register("snk_03", _CSV_SQL)
+@register("snk_03", sql_with(SQL_PROFILE) + """
+SELECT CAST(author_id AS VARCHAR) AS author_id, CAST(paper_id AS VARCHAR) AS paper_id, CAST(seq AS VARCHAR) AS seq,
+  'author_id,paper_id,seq,w2v_0,w2v_1' AS header, 5 AS fields FROM profile""")
 def snk_03(spark, sf):
-    return _csv_back(spark, sf)
+    """The lines as written: the key in each, its number of fields, and the header of its file."""
+    lines = spark.read.text(_csv_written(spark, sf)).select("value", F.input_file_name().alias("file"))
+    head = lines.filter(F.col("value").startswith("author_id")).select("file", F.col("value").alias("header"))
+    part = F.split("value", ",")
+    return (lines.filter(~F.col("value").startswith("author_id")).join(head, "file")
+            .select(part[0].alias("author_id"), part[1].alias("paper_id"), part[2].alias("seq"), "header",
+                    F.size(part).alias("fields")))
 
 
 _NAME_SQL = "lower(regexp_replace(s_name, '[^\\w\\s]', '', 'g'))"
@@ -279,9 +307,10 @@ def snk_05_stream(spark, sf):
     job (foreachBatch) reads them in about four batches and rebuilds the graphs of the authors it meets."""
     from papertrail.streaming import incremental as INC
     root = scratch_path(spark, "stream")
+    IO.write_profiles(D.profiles(spark, sf), f"{root}/all", chunk=4)  # most authors have several parts
+    parts = IO.read_profiles_lines(spark, f"{root}/all")
     for k in range(4):
-        part = F.pmod(F.xxhash64("author_id", F.expr(f"seq div {IO.CHUNK}")), F.lit(4))
-        IO.write_profiles(D.profiles(spark, sf).where(part == k), f"{root}/in/batch={k}")
+        parts.where(F.pmod(F.xxhash64("author_id", "part"), F.lit(4)) == k).write.json(f"{root}/in/batch={k}")
     files = len(spark.read.schema(INC.PART_SCHEMA).json(f"{root}/in").inputFiles())
     papers = INC.papers_by_string_id(D.papers(spark, sf))
     INC.build_stream(spark, f"{root}/in/*", papers, f"{root}/out", f"{root}/ckpt", max(1, files // 4))

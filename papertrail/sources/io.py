@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papertrail.operators import ranks as R
+
 CHUNK = 4096
 # seq of a flattened profile row: positives first, then part, then position.
 _LABEL_SHIFT = 1 << 62
@@ -78,10 +80,11 @@ def flatten_unlabelled(nested: DataFrame) -> DataFrame:
 
 
 def write_profiles(flat: DataFrame, path: str, labelled: bool = True, chunk: int = CHUNK) -> None:
-    """Write (author_id, name, paper_id, [label], seq) as JSON lines, at most
-    ``chunk`` papers per record, lists ordered by seq."""
-    part = F.expr(f"seq div {chunk}")
-    g = flat.withColumn("part", part).groupBy("author_id", "name", "part")
+    """Write (author_id, name, paper_id, [label], seq) as JSON lines, lists ordered by seq; a record holds ``chunk``
+    papers, the last of a profile what is left.  Papers are parted by their rank in the profile, counted in two levels,
+    so neither gaps in ``seq`` nor a large profile change that."""
+    ranked = R.rank(flat, ["author_id", "name"], ["seq"], "_rank")
+    g = ranked.withColumn("part", F.expr(f"_rank div {chunk}")).groupBy("author_id", "name", "part")
     if labelled:
         agg = g.agg(F.sort_array(F.collect_list(F.struct("seq", "paper_id", "label"))).alias("l"))
         out = agg.select("author_id", "name", "part",
@@ -130,9 +133,7 @@ def write_scores(scores: DataFrame, path: str, chunk: int = CHUNK, order_col: st
         s = s.groupBy("author_id", "paper_id").agg(F.max_by("score", order_col).alias("score"))
     else:
         s = s.groupBy("author_id", "paper_id").agg(F.max("score").alias("score"))
-    part = F.pmod(F.xxhash64("paper_id"), F.greatest(F.lit(1), F.col("_n") / F.lit(chunk)).cast("long"))
-    n = s.groupBy("author_id").agg(F.count(F.lit(1)).alias("_n"))
-    s = s.join(n, "author_id").withColumn("part", part.cast("int"))
+    s = R.rank(s, ["author_id"], ["paper_id"], "_rank").withColumn("part", F.expr(f"_rank div {chunk}").cast("int"))
     out = s.groupBy("author_id", "part").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("paper_id").cast("string"), "score"))).alias("scores"))
     out.select(F.col("author_id").cast("string").alias("author_id"), "part", "scores") \

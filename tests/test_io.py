@@ -56,6 +56,19 @@ def test_profile_chunks(spark):
     assert [r.label for r in f.orderBy("seq").collect()] == [1] * 5 + [0] * 5
 
 
+def test_parts_are_full_whatever_the_gaps(spark, tmp_path):
+    """A profile with gaps in seq and one far larger than a record: every record full but each profile's last."""
+    rows = [(1, "n", i, i % 2, 977 * i * i) for i in range(9001)] + [(2, "m", 10**6 + i, 1, i << 40) for i in range(5)]
+    flat = spark.createDataFrame(rows, "author_id long, name string, paper_id long, label int, seq long").repartition(3)
+    IO.write_profiles(flat, str(tmp_path / "p"))
+    back = IO.read_profiles_lines(spark, str(tmp_path / "p"))
+    n = {(int(r.author_id), r.part): r.n for r in
+         back.select("author_id", "part", (F.size("normal_data") + F.size("outliers")).alias("n")).collect()}
+    assert n == {(1, 0): 4096, (1, 1): 4096, (1, 2): 809, (2, 0): 5}
+    got = [(int(r.paper_id), r.label) for r in IO.flatten_labelled(back).filter("author_id = '1'").orderBy("seq").collect()]
+    assert got == [(i, 1) for i in range(1, 9001, 2)] + [(i, 0) for i in range(0, 9001, 2)]
+
+
 def test_flatten_keeps_order_at_large_seq(spark, tmp_path):
     """Round trip of profile rows whose seq is past 2^23, 2^32 and 2^43: order and labels stay apart."""
     from papertrail.sources import io as IO
@@ -86,8 +99,10 @@ def _stream_fixture(spark, tmp_path):
     """Two authors cut into parts of two papers, each part in a file of its own; every paper shares two names."""
     rows = [(a, "n", f"{a}{i}", i % 2, i) for a in ("a", "b") for i in range(6)]
     flat = spark.createDataFrame(rows, "author_id string, name string, paper_id string, label int, seq long")
+    IO.write_profiles(flat, str(tmp_path / "all"), chunk=2)
     for k in range(3):
-        IO.write_profiles(flat.where(F.expr("seq div 2") == k), str(tmp_path / "in" / f"batch={k}"), chunk=2)
+        (IO.read_profiles_lines(spark, str(tmp_path / "all")).where(F.col("part") == k)
+         .write.json(str(tmp_path / "in" / f"batch={k}")))
     papers = flat.select("paper_id").distinct().withColumn("authors", F.expr(
         "array(named_struct('name', 'x one', 'org', 'o'), named_struct('name', 'y two', 'org', 'o'))"))
     want = {(a, f"{a}{i}", f"{a}{j}", 1) for a in ("a", "b") for i in range(6) for j in range(6) if i != j}
