@@ -162,8 +162,9 @@ def lower_orgs(authors, field: str = "org") -> Column:
     return F.transform(_c(authors), lambda a: F.lower(F.coalesce(a[field], F.lit(""))))
 
 
-def author_names(authors, field: str = "name") -> Column:
-    return F.transform(_c(authors), lambda a: normalise_name(a[field]))
+def author_names(authors, field: str = "name", readings=None) -> Column:
+    """Normalised names; with ``readings`` (``names.Readings``) Han characters are read before symbols go."""
+    return F.transform(_c(authors), lambda a: normalise_name(readings.text(a[field]) if readings else a[field]))
 
 
 def has_han(c) -> Column:

@@ -165,7 +165,7 @@ def drop_edgeless(node_df: DataFrame, edges: DataFrame) -> DataFrame:
     return node_df.join(edges.select("author_id").distinct(), "author_id", "left_semi")
 
 
-def graph_input(pp: DataFrame, authors_col: str = "authors") -> DataFrame:
-    """Add the normalised name and lower-cased org arrays the edge kinds read."""
-    return pp.withColumn("names", T.author_names(F.col(authors_col))) \
+def graph_input(pp: DataFrame, authors_col: str = "authors", readings=None) -> DataFrame:
+    """Add the normalised name (Han read by ``readings`` first, if given) and lower-cased org arrays the edge kinds read."""
+    return pp.withColumn("names", T.author_names(F.col(authors_col), readings=readings)) \
              .withColumn("orgs", T.lower_orgs(F.col(authors_col)))

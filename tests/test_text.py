@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from papertrail import constants as K
@@ -68,3 +69,36 @@ def test_compose_text(spark):
     assert len(t.split(" ")[1]) == len("abstract:") + 400
     cut = df.select(T.compose_text("title", "abstract", "keywords", "venue", "year", K.ABSTRACT_CHARS)).first()[0]
     assert len(cut.split(" ")[1]) == K.ABSTRACT_CHARS
+
+
+def _readings(spark, rows, **kw):
+    from papertrail.operators.names import Readings
+    return Readings(spark.createDataFrame(rows, "ch string, reading string"), **kw)
+
+
+def test_transliteration_takes_the_longest_entry(spark):
+    rows = [("李", "li"), ("伟", "wei"), ("行", "xing"), ("银", "yin"), ("银行", "yin hang"), ("长", "chang"), ("长大", "zhang da")]
+    texts = ["李伟", "银行 ABC行", "Wei 李-长大了", None, "", "abc", "银", "长银行", "银银行行", "了"]
+    want = ["li wei", "yin hang  ABC xing", "Wei  li - zhang da 了", None, "", "abc", "yin", "chang yin hang",
+            "yin yin hang xing", "了"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    read = _readings(spark, rows)
+    got = df.select(read.text("t").alias("x"))
+    assert [r.x for r in got.collect()] == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    one = _readings(spark, rows[:4])
+    assert [r.x for r in df.select(one.text("t").alias("x")).collect()][:2] == ["li wei", "yin xing  ABC xing"]
+    none = _readings(spark, [])
+    assert [r.x for r in df.select(none.text("t").alias("x")).collect()][:2] == ["李 伟", "银 行  ABC 行"]
+
+
+def test_a_dictionary_is_bounded(spark):
+    with pytest.raises(ValueError, match="more than 2"):
+        _readings(spark, [("李", "li"), ("伟", "wei"), ("行", "xing")], most=2)
+
+
+def test_names_are_read_before_they_are_normalised(spark):
+    from papertrail.operators import graph as G
+    read = _readings(spark, [("李", "li"), ("伟", "wei")])
+    pp = spark.createDataFrame([([("李伟", "O"), ("LI Wei", "O")],)], "authors array<struct<name:string,org:string>>")
+    assert G.graph_input(pp, readings=read).first()["names"] == ["li wei", "li wei"]
