@@ -356,3 +356,33 @@ def test_a_worker_scores_with_the_model_it_is_given(spark):
         scores = {r.doc_id: r.score for r in quality.score(docs, turned).collect()}
         assert (scores[1] > scores[0]) == (k % 2 == 0)
         del turned
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_conversation_repair", "op12_token_files",
+                                                                "op13_periodic_runs"}))
+def test_registered_query_runs(spark, name):
+    """The registered functions of the earlier operators: a row for each document, or at least one."""
+    got = queries.QUERIES[name](spark, SF)
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    if name == "op9_bm25_topk":
+        assert got.count() > 0
+        return
+    ids = [r.doc_id for r in got.select("doc_id").collect()]
+    assert set(ids) == docs and (name == "op8_packing" or len(ids) == len(docs))
+
+
+def test_pipeline_runs_to_its_packed_pieces(spark):
+    """run() over the smallest tables: pieces lie gapless in their sequences, and only kept documents have any."""
+    import corpus_pipeline
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and {r.doc_id for r in rows} <= docs
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
