@@ -30,29 +30,38 @@ def _meet(left: DataFrame, right: DataFrame, group: str, hot_rows: int) -> DataF
     return split.join(spread, [group, "elem", "part"])
 
 
-def ordered_elements(rows: DataFrame, elements: Column, least: int, group: str = "author_id") -> DataFrame:
+def ordered_elements(rows: DataFrame, elements: Column, least: int, group: str = "author_id",
+                     carried: tuple[str, ...] = ()) -> DataFrame:
     """(group, seq, paper_id, elems): the distinct non-null elements of each row that another row of the group holds too,
-    as (n, elem) from rare to frequent, n being the rows that hold it; rows with fewer than ``least`` drop out."""
-    members = (rows.select(group, "seq", "paper_id", F.explode(F.array_distinct(elements)).alias("elem"))
+    as (n, elem) from rare to frequent, n being the rows that hold it; rows with fewer than ``least`` drop out.  ``carried``
+    columns of the rows come along."""
+    row = [group, "seq", "paper_id", *carried]
+    members = (rows.select(*row, F.explode(F.array_distinct(elements)).alias("elem"))
                .filter(F.col("elem").isNotNull()))
     freq = members.groupBy(group, "elem").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return (members.join(freq, [group, "elem"])
-            .groupBy(group, "seq", "paper_id").agg(F.sort_array(F.collect_list(F.struct("n", "elem"))).alias("elems"))
+            .groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("n", "elem"))).alias("elems"))
             .filter(F.size("elems") >= least))
 
 
 def overlap_pairs(rows: DataFrame, elements: Column, least: int, group: str = "author_id",
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, fresh: str | None = None) -> DataFrame:
     """(group, src_seq, src, dst_seq, dst, shared) for every ordered pair of rows of a group that share ``least`` elements
-    or more.  A row's elements are bounded (one paper's names); they travel once for each indexed element."""
-    keyed = ordered_elements(rows, elements, least, group).select(
-        group, "seq", "paper_id", F.transform("elems", lambda x: x["elem"]).alias("held"),
+    or more.  A row's elements are bounded (one paper's names); they travel once for each indexed element.
+
+    ``fresh`` names a boolean column: then only pairs with a fresh row in them are formed, each fresh row being looked up
+    among all rows, so rows that are not fresh never meet each other."""
+    carried = (fresh,) if fresh else ()
+    keyed = ordered_elements(rows, elements, least, group, carried).select(
+        group, "seq", "paper_id", *carried, F.transform("elems", lambda x: x["elem"]).alias("held"),
         F.inline(F.slice("elems", F.lit(1), F.size("elems") - (least - 1))))
-    src = keyed.select(group, "elem", "n", F.col("seq").alias("src_seq"), F.col("paper_id").alias("src"),
-                       F.col("held").alias("src_held"))
-    dst = keyed.select(group, "elem", "n", F.col("seq").alias("dst_seq"), F.col("paper_id").alias("dst"),
+    once = F.col("src_seq") < F.col("dst_seq")  # a pair of rows that stand on both sides meets there twice
+    asking = keyed.filter(fresh) if fresh else keyed
+    src = asking.select(group, "elem", "n", F.col("seq").alias("src_seq"), F.col("paper_id").alias("src"),
+                        F.col("held").alias("src_held"))
+    dst = keyed.select(group, "elem", "n", *carried, F.col("seq").alias("dst_seq"), F.col("paper_id").alias("dst"),
                        F.col("held").alias("dst_held"))
-    met = (_meet(src, dst, group, hot_rows).filter(F.col("src_seq") < F.col("dst_seq"))
+    met = (_meet(src, dst, group, hot_rows).filter(once | ~F.col(fresh) if fresh else once)
            .withColumn("common", F.array_intersect("src_held", "dst_held"))
            .filter((F.size("common") >= least) & (F.col("common")[0] == F.col("elem"))))
     one = F.struct("src_seq", "src", "dst_seq", "dst")
@@ -79,6 +88,21 @@ def contained_names(names: DataFrame, group: str = "author_id", hot_rows: int =
             .select(group, "inner", "outer"))
 
 
+def contained_sets(inner: DataFrame, outer: DataFrame, inner_id: str, outer_id: str, inner_set: str = "ta",
+                   outer_set: str = "tb", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(inner_id, outer_id) of all pairs where the non-empty set of tokens ``inner_set`` lies within ``outer_set``.
+
+    An inner set is looked up by its token that the fewest outer sets hold.  One with a token that no outer set holds
+    meets nothing; a token with n outer rows gets ceil(n / hot_rows) parts."""
+    each = outer.select(outer_id, outer_set, F.explode(outer_set).alias("tok"))
+    freq = each.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    key = (inner.select(inner_id, inner_set, F.explode(inner_set).alias("tok")).join(freq, "tok", "left")
+           .groupBy(inner_id, inner_set).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok")).alias("k"))
+           .filter("k.n > 0").select(inner_id, inner_set, F.col("k.tok").alias("tok")))
+    return (salted_join(each, key, ["tok"], [outer_id], hot_rows)
+            .filter(F.size(F.array_except(inner_set, outer_set)) == 0).select(inner_id, outer_id))
+
+
 def subset_pairs(rows: DataFrame, names: Column, least: int, group: str = "author_id",
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group, src_seq, src, dst_seq, dst, shared): for ordered pairs of rows the number of (i, j) positions with the tokens

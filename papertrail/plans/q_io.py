@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papertrail.operators import graph as G
 from papertrail.plans.common import graph_pp, r6
 from papertrail.plans.registry import register
-from papertrail.session import scratch_path
+from papertrail.session import materialize, scratch_path
 from papertrail.sources import driver as D
 from papertrail.sources import io as IO
 from papertrail.sources.driver import SQL_LINES, SQL_PAPER, SQL_PLINES, SQL_PROFILE, sql_with
@@ -187,7 +187,8 @@ GROUP BY a.author_id, a.seq, a.paper_id, b.seq, b.paper_id HAVING count(*) >= 2"
 
 
 def _graph_tables(spark, sf):
-    pp = graph_pp(spark, sf)
+    """Nodes and edges of a graph input that is worked out once for both."""
+    pp = materialize(graph_pp(spark, sf), "graph_input")
     return G.nodes(pp, []), G.coauthor_edges(pp).select("author_id", "src", "dst", "weight")
 
 
@@ -226,7 +227,7 @@ def snk_05(spark, sf):
     """Interrupted build resumed by key: a first run writes the authors of one
     market segment, the resume run builds only authors absent from the written
     node table."""
-    pp = graph_pp(spark, sf)
+    pp = materialize(graph_pp(spark, sf), "graph_input")
     path = scratch_path(spark, "graph_resume")
     seg = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"), "c_mktsegment")
     first = pp.join(seg.filter(F.col("c_mktsegment") == "BUILDING"), "author_id", "left_semi")
@@ -304,7 +305,7 @@ def jon_07(spark, sf):
 @register("snk_05_stream", _EDGE_SQL)
 def snk_05_stream(spark, sf):
     """Incremental graph build: profile parts are dealt over files by (author, part), a Structured Streaming
-    job (foreachBatch) reads them in about four batches and rebuilds the graphs of the authors it meets."""
+    job (foreachBatch) reads them in about four batches and extends the graphs of the authors it meets."""
     from papertrail.streaming import incremental as INC
     root = scratch_path(spark, "stream")
     IO.write_profiles(D.profiles(spark, sf), f"{root}/all", chunk=4)  # most authors have several parts

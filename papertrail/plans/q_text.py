@@ -8,6 +8,7 @@ from papertrail import constants as K
 from papertrail.functions import text as T
 from papertrail.functions import tokens as TK
 from papertrail.operators import features as FE
+from papertrail.operators.overlap import contained_sets
 from papertrail.plans import sqlfrag as S
 from papertrail.plans.common import r6
 from papertrail.plans.registry import register
@@ -262,14 +263,11 @@ SELECT pt.paper_id, pn.p_name FROM pt, pn
 WHERE len(list_filter(pn.toks, lambda t: NOT list_contains(pt.toks, t))) = 0""")
 def set_06(spark, sf):
     """Token-set containment: part names whose tokens all occur among a paper's
-    keyword tokens.  Exact blocking on the smallest token of the contained set,
-    so only papers holding that token are ever compared (no cross join)."""
+    keyword tokens.  Exact blocking on the contained set's token that the fewest papers hold; a name with a token
+    that no paper holds meets none.  Tokens that many papers hold are split by counted rows."""
     pn = (D.table(spark, sf, "part").select("p_name").distinct()
-          .withColumn("ta", F.array_distinct(F.split("p_name", " ")))
-          .withColumn("tok", F.array_min("ta")))
+          .withColumn("ta", F.array_distinct(F.split("p_name", " "))))
     pt = (D.papers(spark, sf)
           .select("paper_id", F.array_distinct(F.flatten(F.transform(
               "keywords", lambda k: F.split(k, " ")))).alias("tb")))
-    pe = pt.select("paper_id", "tb", F.explode("tb").alias("tok"))
-    return (pn.join(pe, "tok").filter(F.size(F.array_except("ta", "tb")) == 0)
-            .select("paper_id", "p_name"))
+    return contained_sets(pn, pt, "p_name", "paper_id").select("paper_id", "p_name")

@@ -72,6 +72,12 @@ def flatten_labelled(nested: DataFrame) -> DataFrame:
                         + F.col("pos")).cast("long").alias("seq"))
 
 
+def part_of(seq):
+    """The part of the nested record that a flattened row comes from."""
+    c = F.col(seq) if isinstance(seq, str) else seq
+    return F.shiftright(c.bitwiseAND(F.lit(_LABEL_SHIFT - 1)), 20)
+
+
 def flatten_unlabelled(nested: DataFrame) -> DataFrame:
     """PRJ-02: one row per listed paper."""
     return nested.select("author_id", "name", F.posexplode("papers").alias("pos", "paper_id"), "part") \
@@ -208,28 +214,68 @@ def next_epoch(spark: SparkSession, path: str) -> int:
     return 0 if last is None else last + 1
 
 
+def author_bucket(buckets: int = GRAPH_BUCKETS):
+    """The partition that an author's rows lie in."""
+    return F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_epoch(df: DataFrame, path: str, name: str, epoch: int, buckets: int = GRAPH_BUCKETS) -> None:
+    """One table of one epoch by author bucket, replacing what an interrupted run of that epoch left."""
+    (df.withColumn("bucket", author_bucket(buckets)).write.mode("overwrite").partitionBy("bucket")
+     .parquet(f"{path}/{name}/epoch={epoch}"))
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = GRAPH_BUCKETS,
-                epoch: int | None = None) -> None:
+                epoch: int | None = None, authors: DataFrame | None = None) -> None:
     """Node and edge tables of one epoch, partitioned by an author bucket, each replacing what an interrupted
     run of that epoch left.  ``done/epoch=N`` is written last and lists the authors of the epoch: only
-    then do readers see them, and in place of any earlier epoch of the same author."""
+    then do readers see them.
+
+    An author's graph is what the epochs from its ``base`` to its last one hold together.  ``authors`` (author_id, base)
+    says which epochs this one adds to; without it, every author of ``nodes`` starts anew here and earlier
+    epochs of it are superseded."""
     spark = nodes.sparkSession
     epoch = next_epoch(spark, path) if epoch is None else epoch
-    b = F.pmod(F.xxhash64(F.col("author_id").cast("string")), F.lit(buckets)).cast("int")
     for name, df in (("edges", edges), ("nodes", nodes)):
-        df.withColumn("bucket", b).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/epoch={epoch}")
-    authors = spark.read.schema(nodes.schema).parquet(f"{path}/nodes/epoch={epoch}").select("author_id").distinct()
-    authors.write.mode("overwrite").parquet(f"{path}/done/epoch={epoch}")
+        write_epoch(df, path, name, epoch, buckets)
+    if authors is None:
+        written = spark.read.schema(nodes.schema).parquet(f"{path}/nodes/epoch={epoch}")
+        authors = written.select("author_id").distinct().withColumn("base", F.lit(epoch))
+    authors.select("author_id", F.col("base").cast("int").alias("base")).write.mode("overwrite").parquet(f"{path}/done/epoch={epoch}")
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of every author's last committed epoch."""
-    last = spark.read.parquet(f"{path}/done").groupBy("author_id").agg(F.max("epoch").alias("epoch"))
+def committed(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """author_id, base, last: the epochs that hold each author's graph, as committed before epoch ``before``; None
+    when nothing is."""
+    done = _written(spark, f"{path}/done")
+    if done is None:
+        return None
+    if before is not None:
+        done = done.filter(F.col("epoch") < before)
+    return done.groupBy("author_id").agg(F.max("base").alias("base"), F.max("epoch").alias("last"))
+
+
+def read_epochs(spark: SparkSession, path: str, name: str, current: DataFrame, buckets: list[int] | None = None,
+                schema: T.StructType | None = None) -> DataFrame:
+    """Rows of table ``name`` in the epochs that ``current`` (author_id, base, last) gives for their authors.  Epochs that no
+    author needs, and buckets besides ``buckets``, are pruned by partition."""
+    held = F.col("epoch").between(F.col("base"), F.col("last"))
+    done = spark.read.parquet(f"{path}/done").select("author_id", "epoch").join(current, "author_id")
+    live = [r["epoch"] for r in done.filter(held).select("epoch").distinct().collect()]
+    read = spark.read.option("mergeSchema", True)
+    if schema is not None:
+        read = read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType()),
+                                         T.StructField("bucket", T.IntegerType())]))
+    rows = read.parquet(f"{path}/{name}").filter(F.col("epoch").isin(live))
+    if buckets is not None:
+        rows = rows.filter(F.col("bucket").isin(buckets))
+    return rows.join(current, "author_id").filter(held).drop("bucket", "epoch", "base", "last")
+
 
-    def current(name):
-        return (spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")
-                .join(last, ["author_id", "epoch"], "left_semi").drop("bucket", "epoch"))
-    return current("nodes"), current("edges")
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of every author, from the author's committed epochs."""
+    current = committed(spark, path)
+    return read_epochs(spark, path, "nodes", current), read_epochs(spark, path, "edges", current)
 
 
 # --- SNK-05: key-based resume ------------------------------------------------------

@@ -145,3 +145,51 @@ def test_batch_survives_a_failure_between_writes_and_a_replay(spark, tmp_path):
     for k in (1, 2, 2, 2):
         step(batches[k], k)
     assert _edges_of(spark, out) == want
+
+
+def test_stream_never_meets_known_papers_again(spark, tmp_path):
+    """One author in twelve batches of two papers: every edge is written once, in the epoch of its later end."""
+    from papertrail.streaming import incremental as INC
+    out = str(tmp_path / "out")
+    flat = spark.createDataFrame([("a", "n", f"p{i:02d}", i % 2, i) for i in range(24)],
+                                 "author_id string, name string, paper_id string, label int, seq long")
+    IO.write_profiles(flat, str(tmp_path / "all"), chunk=2)
+    parts = IO.read_profiles_lines(spark, str(tmp_path / "all")).cache()
+    papers = flat.select("paper_id").withColumn("authors", F.expr(
+        "array(named_struct('name', 'x one', 'org', 'o'), named_struct('name', 'y two', 'org', 'o'))"))
+    step = INC.graph_builder(papers, out)
+    for k in range(12):
+        step(parts.where(F.col("part") == k), k)
+    edges = spark.read.parquet(f"{out}/edges")
+    assert {r["epoch"]: r["count"] for r in edges.groupBy("epoch").count().collect()} == {
+        k: 2 + 8 * k for k in range(12)}  # one new pair, and two new papers with 2 k known ones, in both directions
+    assert _edges_of(spark, out) == {("a", f"p{i:02d}", f"p{j:02d}", 1) for i in range(24) for j in range(24) if i != j}
+
+
+def test_a_part_that_comes_again_replaces_its_papers(spark, tmp_path):
+    from papertrail.streaming import incremental as INC
+    papers, want = _stream_fixture(spark, tmp_path)
+    out = str(tmp_path / "out")
+    batches = [spark.read.schema(INC.PART_SCHEMA).json(str(tmp_path / "in" / f"batch={k}")).cache() for k in range(3)]
+    step = INC.graph_builder(papers, out)
+    for k in range(3):
+        step(batches[k], k)
+    less = batches[1].where("author_id = 'a'").withColumn("normal_data", F.array().cast("array<string>"))
+    gone = {x for r in batches[1].where("author_id = 'a'").collect() for x in r["normal_data"]}
+    assert gone
+    step(less, 3)
+    assert _edges_of(spark, out) == {e for e in want if not gone & {e[1], e[2]}}
+    assert {r["paper_id"] for r in IO.read_graph(spark, out)[0].where("author_id = 'a'").collect()} == (
+        {e[1] for e in want if e[0] == "a"} - gone)
+    step(batches[1], 4)
+    assert _edges_of(spark, out) == want
+
+
+def test_contained_sets_split_a_token_that_every_row_holds(spark):
+    from papertrail.operators import overlap as O
+    outer = [(i, ["all", f"t{i % 7}", f"u{i % 3}"]) for i in range(300)] + [(300, []), (301, None)]
+    inner = [("a", ["all"]), ("b", ["all", "t3"]), ("c", ["u1", "all", "t2"]), ("d", ["all", "absent"]), ("e", ["t9"])]
+    got = O.contained_sets(spark.createDataFrame(inner, "p string, ta array<string>"),
+                           spark.createDataFrame(outer, "q int, tb array<string>"), "p", "q", hot_rows=20)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(
+        (p, q) for p, ta in inner for q, tb in outer if tb and set(ta) <= set(tb))
