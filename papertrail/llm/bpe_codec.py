@@ -6,8 +6,13 @@ leftmost pair of least rank of each word until none is left; an ordered aggregat
 over the vocabulary the bytes.  Texts are put together from their words.
 
 Contract of :func:`bpe_round_trip`: one row per input row; null and empty texts give no ids and the hash
-of nothing; repeated rows are each encoded; a null id stays null; other columns are not read.  A single word
-of 2^23 bytes or more is an error (rank and two positions share one integer).
+of nothing; repeated rows are each encoded; a null id stays null; other columns are not read.
+
+A long word is cut into spans that the query encodes like words of their own; then neighbours are joined, two by two, until
+one is left.  Ids in a row are the encoding of their bytes exactly if each two neighbours are that of theirs (the first merge
+across a boundary would happen in the pair alone as well), so a seam is settled by encoding the few tokens around it
+again until the pairs at both ends of these hold.  The work grows with the word's length.  Only a seam that does not settle
+within 2^23 bytes would be an error (rank and two positions share one integer).
 """
 
 from __future__ import annotations
@@ -30,8 +35,13 @@ REMEMBERED_WORDS = 700_000
 #: Characters of text whose words are asked together; pieces and words longer than this are not remembered.
 GROUP_CHARS = 1 << 23
 LONG_PIECE = 256
-#: Bytes of a word from which a query holds its present tokens only, not those of every step.
+#: Bytes of a word from which a query holds its present tokens only, not those of every step; bytes of a word that is cut
+#: into spans, of a span, tokens on each side of a seam that are encoded again, and pairs of tokens remembered.
 LONG_WORD = 1024
+CUT_WORD = 512
+SPAN = 64
+SEAM = 4
+REMEMBERED_PAIRS = 1 << 20
 
 #: Every step makes the tokens of all unfinished words anew; ``b`` is the next merge of the word (merged id, its
 #: position, that of the token it takes in), null when none is left.
@@ -151,6 +161,8 @@ class Codec:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.con.unregister("v")
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces, self.known_words = Memory(REMEMBERED), Memory(REMEMBERED_WORDS)
 
     def _table(self, name: str, **cols) -> None:
@@ -159,11 +171,11 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _query(self, words: list[bytes], sql: str) -> list[tuple[bytes, bytes]]:
-        """ids (little-endian 32-bit integers) and decoded bytes of each word."""
+    def _encode(self, words: list[bytes], sql: str, known: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words, and where each word's begin and end; with ``known``, a word in the vocabulary is one token."""
         if any(len(x) >= 1 << 23 for x in words):
-            raise ValueError("a word has 2^23 bytes or more")
-        whole = np.array([self.ranks.get(x, -1) for x in words], np.int32)  # a word in the vocabulary is one token
+            raise ValueError("2^23 bytes or more to encode at once")
+        whole = np.array([self.ranks.get(x, -1) if known else -1 for x in words], np.int32)
         size = np.where(whole >= 0, 1, [len(x) for x in words])
         start = np.cumsum(size) - size
         tokens = self.first[np.frombuffer(b"".join([x[:1] if r >= 0 else x for x, r in zip(words, whole)]), np.uint8)]
@@ -172,18 +184,19 @@ class Codec:
                     pos=np.arange(len(tokens)) - np.repeat(start, size), id=tokens)
         out = self.con.sql(sql).to_arrow_table().column("ids").combine_chunks()
         ends = out.offsets.to_numpy()
-        flat = out.values.to_numpy()[ends[0]:ends[-1]]
-        ends = ends - ends[0]
+        return out.values.to_numpy()[ends[0]:ends[-1]], ends - ends[0]
+
+    def _decode(self, flat: np.ndarray, ends: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """ids (little-endian 32-bit integers) and decoded bytes of each word."""
         n = np.diff(ends)
-        self._table("ids", w=np.repeat(np.arange(len(words)), n),
+        self._table("ids", w=np.repeat(np.arange(len(n)), n),
                     pos=np.arange(len(flat)) - np.repeat(ends[:-1], n), id=flat)
         hexed = self.con.sql(DECODE_SQL).to_arrow_table().column("hex").to_pylist()
         raw, at = flat.astype("<u4").tobytes(), (4 * ends).tolist()
         return [(raw[i:j], bytes.fromhex(h)) for i, j, h in zip(at, at[1:], hexed)]
 
-    def words(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """word -> (ids as little-endian 32-bit integers, decoded bytes)."""
-        out: dict[bytes, tuple[bytes, bytes]] = {}
+    def _batches(self, words: list[bytes]):
+        """(words, query) of bounded size: of short words, then of long ones."""
         short = [x for x in words if len(x) <= LONG_WORD]
         long = [x for x in words if len(x) > LONG_WORD]
         for some, sql, most, weight in ((short, ENCODE_SQL, QUERY_ROWS, lambda n: n * (n + 1) // 2),
@@ -194,8 +207,77 @@ class Codec:
                 batch.append(x)
                 size += weight(len(x))
                 if size >= most or i == len(some) - 1:
-                    out.update(zip(batch, self._query(batch, sql)))
+                    yield batch, sql
                     batch, size = [], 0
+
+    def _merged(self, strings: set[bytes]) -> dict[bytes, list[int]]:
+        """string -> ids that merging alone gives."""
+        out: dict[bytes, list[int]] = {}
+        for batch, sql in self._batches(list(strings)):
+            flat, ends = self._encode(batch, sql, known=False)
+            out.update((x, flat[i:j].tolist()) for x, i, j in zip(batch, ends, ends[1:]))
+        return out
+
+    def _hold(self, pairs: set[tuple[int, int]]) -> None:
+        """Find out which pairs of tokens are the encoding of their bytes."""
+        if len(self.pairs) > REMEMBERED_PAIRS:
+            self.pairs = {}
+        new = [p for p in pairs if p not in self.pairs]
+        text = {p: self.bytes_of[p[0]] + self.bytes_of[p[1]] for p in new}
+        ids = self._merged(set(text.values()))
+        self.pairs.update((p, ids[t] == list(p)) for p, t in text.items())
+
+    def _joined(self, seams: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The encodings of the bytes of left and right ids together, each of them an encoding."""
+        out: list[list[int] | None] = [None] * len(seams)
+        self._hold({(a[-1], b[0]) for a, b in seams})
+        todo = []
+        for i, (a, b) in enumerate(seams):
+            if self.pairs[a[-1], b[0]]:
+                out[i] = a + b
+            else:
+                todo.append(i)
+        wide = SEAM
+        while todo:
+            near = {i: (seams[i][0][-wide:], seams[i][1][:wide]) for i in todo}
+            text = {i: b"".join(map(self.bytes_of.__getitem__, a + b)) for i, (a, b) in near.items()}
+            ids = self._merged(set(text.values()))
+            ends = {}
+            for i in todo:
+                (a, b), mid = seams[i], ids[text[i]]
+                left, right = a[:max(len(a) - wide, 0)], b[wide:]
+                ends[i] = left, mid, right, {(x[-1], y[0]) for x, y in ((left, mid), (mid, right)) if x and y}
+            self._hold(set().union(*(e[3] for e in ends.values())))
+            left_over = []
+            for i, (left, mid, right, pairs) in ends.items():
+                if all(self.pairs[p] for p in pairs):
+                    out[i] = left + mid + right
+                else:
+                    left_over.append(i)
+            todo, wide = left_over, 2 * wide
+        return out
+
+    def _cut(self, word: bytes) -> list[int]:
+        """ids of a long word from those of its spans."""
+        if word in self.ranks:
+            return [self.ranks[word]]
+        spans = [word[i:i + SPAN] for i in range(0, len(word), SPAN)]
+        ids = self._merged(set(spans))
+        have = [ids[x] for x in spans]
+        while len(have) > 1:
+            odd = [have.pop()] if len(have) % 2 else []
+            have = self._joined(list(zip(have[::2], have[1::2]))) + odd
+        return have[0]
+
+    def words(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """word -> (ids as little-endian 32-bit integers, decoded bytes)."""
+        out: dict[bytes, tuple[bytes, bytes]] = {}
+        for batch, sql in self._batches([x for x in words if len(x) <= CUT_WORD]):
+            out.update(zip(batch, self._decode(*self._encode(batch, sql, known=True))))
+        for x in words:
+            if len(x) > CUT_WORD:
+                ids = np.array(self._cut(x), np.int32)
+                out[x] = self._decode(ids, np.array([0, len(ids)]))[0]
         return out
 
     def _ask(self, words: set[str]) -> list[str]:

@@ -421,3 +421,22 @@ def test_pipeline_stages(spark):
     assert not re.search(r"AKIA[A-Z0-9]{16}", text)
     packed = C.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_long_words_equal_the_library(spark):
+    """Words without a boundary, cut into spans and joined at seams, of up to 200 KB."""
+    import random
+    import tiktoken
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = bpe_codec.Codec(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(5)
+    kinds = [lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n)),
+             lambda n: b"a" * n, lambda n: (b"ab" * n)[:n], lambda n: b"-" * n + b"=" * 7, lambda n: b" " * n,
+             lambda n: bytes(rng.choices(b"ab", k=n)), lambda n: bytes(rng.choices(range(128, 256), k=n)),
+             lambda n: b"".join(rng.choices([b"the", b"inter", b"nation", b"al", b"pre", b"un"], k=n // 4))]
+    words = [kind(n) for n in (bpe_codec.CUT_WORD + 1, 1025, 5000) for kind in kinds] + [kinds[0](200_000)]
+    got = codec.words(words)
+    for w in words:
+        want = np.array(library._core_bpe.encode_single_piece(w), "<u4").tobytes()
+        assert got[w] == (want, w)
