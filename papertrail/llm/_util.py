@@ -24,11 +24,13 @@ def share(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Ship the package to Python workers, register the shared folder, keep Arrow batches small."""
-    ship_package(spark)
-    ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(fn, rows: int = BATCH_ROWS):
+    """``fn`` over the same batches in slices of at most ``rows`` rows, whatever the session's batch size is.
+
+    Spark bounds a batch by bytes; the slices bound what ``fn`` turns into Python objects at a time."""
+    def run(batches):
+        return fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+    return run
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -329,7 +329,7 @@ def codec(path: str, pattern: str) -> Codec:
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (binary) for every row of ``df``."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
 
     def run(batches):
         c = codec(ranks_path, pattern)
@@ -341,13 +341,13 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                 [doc, pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *ids])),
                  pa.array([d for _, d in got], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return U.texts(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return U.texts(df, id_col, text_col).mapInArrow(U.sliced(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of what :func:`bpe_encode` gives."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
 
     def run(batches):
         c = codec(ranks_path, pattern)
@@ -360,4 +360,4 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return U.texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        U.sliced(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from papertrail.llm._util import sliced
 from papertrail.session import scratch_path
 
 #: Characters of text in a chunk.
@@ -74,7 +75,7 @@ def chunked(df: DataFrame, text_col: str, buckets: int, size_of: int = CHUNK) ->
             yield blob()
 
     name = f"papertrail_chunks_{uuid.uuid4().hex[:12]}"
-    chunks = df.mapInArrow(run, "chunk long, data binary")
+    chunks = df.mapInArrow(sliced(run), "chunk long, data binary")
     (chunks.write.format("parquet").option("compression", "none").option("path", scratch_path(spark, "chunks"))
      .bucketBy(buckets, "chunk").saveAsTable(name))
     return spark.table(name)

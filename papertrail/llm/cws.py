@@ -101,7 +101,7 @@ def hexed(rows: np.ndarray) -> list[str]:
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint for every row of ``df``."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -110,7 +110,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     [pa.array([d for d, _ in part], pa.int64()), pa.array(hexed(fingerprints([t for _, t in part])))],
                     names=["doc_id", "fingerprint"])
 
-    return U.texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
+    return U.texts(df, id_col, text_col).mapInArrow(U.sliced(run), "doc_id long, fingerprint string")
 
 
 def _parts(rows: list[tuple]):
@@ -153,7 +153,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are range-partitioned by doc_id, so a row's next is beside it but at the ends of a partition; each
     partition hands on its first and last row, which are matched by partition number."""
     spark = df.sparkSession
-    U.prepare(spark)
+    U.share(spark)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = (U.texts(df, id_col, text_col).repartitionByRange(U.parallelism(df), *order)
               .sortWithinPartitions(*order))
@@ -186,7 +186,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held is not None:
             yield edge(2, *held)
 
-    walked = materialize(ranged.mapInArrow(walk, f"{_RESULT}, kind int, pid int, text string"), "fingerprints")
+    walked = materialize(ranged.mapInArrow(U.sliced(walk), f"{_RESULT}, kind int, pid int, text string"), "fingerprints")
     first = walked.where("kind = 1").select("pid", F.col("text").alias("next_text"))
     pids = sorted(r["pid"] for r in first.select("pid").collect())  # one number a partition
     after = spark.createDataFrame(list(zip(pids, pids[1:] + pids[:1])), "at int, pid int")
@@ -199,4 +199,4 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if rows:
                 yield pa.RecordBatch.from_arrays(_compare(rows, b.column("next_text").to_pylist()), names=names)
 
-    return walked.where("kind = 0").select(*names).unionByName(last.mapInArrow(ends, _RESULT))
+    return walked.where("kind = 0").select(*names).unionByName(last.mapInArrow(U.sliced(ends), _RESULT))

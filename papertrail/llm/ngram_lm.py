@@ -320,9 +320,9 @@ def _answers(table: DataFrame, order: int, discount: float, buckets: int, parts:
                      pa.array([tokens], pa.int64()), pa.array([distinct], pa.int64())],
                     names=["chunk", "bucket", "answers", "tokens", "words"])
 
-    sent = table.mapInArrow(send, "bucket long, chunk long, grams binary")
+    sent = table.mapInArrow(U.sliced(send, 1), "bucket long, chunk long, grams binary")
     return (sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(judge, "chunk long, bucket long, answers binary, tokens long, words long"))
+            .mapInArrow(U.sliced(judge, 1), "chunk long, bucket long, answers binary, tokens long, words long"))
 
 
 def score(df: DataFrame, training: Column, order: int = ORDER, discount: float = DISCOUNT, id_col: str = "doc_id",
@@ -330,12 +330,11 @@ def score(df: DataFrame, training: Column, order: int = ORDER, discount: float =
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of ``df``; rows for which
     ``training`` (over doc_id) holds are learnt from."""
     spark = df.sparkSession
-    U.prepare(spark)
+    U.share(spark)
     parts = U.parallelism(df)
     buckets = parts
     rows = U.texts(df, id_col, text_col).withColumn("train", F.coalesce(training, F.lit(False)))
     table = chunks.chunked(rows, "text", parts, CHUNK)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a chunk is a row
     answers = materialize(_answers(table, order, discount, buckets, parts), "answers")
     total = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     tokens, vocabulary = total["n"], total["v"]
@@ -368,4 +367,4 @@ def score(df: DataFrame, training: Column, order: int = ORDER, discount: float =
                     names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return table.hint("merge").join(back, "chunk").mapInArrow(
-        run, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        U.sliced(run, 1), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -40,7 +40,7 @@ RANKED = 50_000
 def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -62,7 +62,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return U.texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        U.sliced(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -282,5 +282,5 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int =
                 + [pa.array(seq), pa.array(off)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, "
+    return ranked.mapInArrow(U.sliced(run), "doc_id long, piece int, start long, length long, ids_crc32 long, "
                                   "sequence_id long, offset long")

@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "quality
     """Learn from the ``sample`` labelled rows of least hash for which the column expression ``allowed``
     (over ``doc_id``) holds."""
     spark = docs.sparkSession
-    U.prepare(spark)
+    U.share(spark)
     chosen = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
               .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).where(allowed)
               .groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "quality
             names=["sums", "met"])
 
     sums, met = np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS, np.int64)
-    for r in rows.mapInArrow(count, "sums binary, met binary").toLocalIterator():  # SAMPLE_PARTS rows
+    for r in rows.mapInArrow(U.sliced(count), "sums binary, met binary").toLocalIterator():  # SAMPLE_PARTS rows
         sums += np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIMS)
         met += np.frombuffer(r["met"], np.int64)
     vectors = word_vectors(sums, met, index_vectors())
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "quality
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(pooled, pa.binary())],
                                              names=["doc_id", "label", "pooled"])
 
-    got = rows.mapInArrow(pool, "doc_id long, label int, pooled binary").collect()
+    got = rows.mapInArrow(U.sliced(pool), "doc_id long, label int, pooled binary").collect()
     got = sorted({(r["doc_id"], r["label"], bytes(r["pooled"])) for r in got})[:2 * sample]  # repeated rows once
     pooled = np.array([np.frombuffer(r[2], np.float32) for r in got], np.float32).reshape(len(got), -1)
     apart = np.array([zlib.crc32(f"apart {r[0]}".encode()) % 5 == 0 for r in got], bool)
@@ -319,7 +319,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
           threshold: float = PREDICT_FROM, keep: bool = False) -> DataFrame:
     """doc_id, score, predicted for every row of ``df``; with ``keep`` the rows of ``df`` predicted 1."""
     spark = df.sparkSession
-    U.prepare(spark)
+    U.share(spark)
     shared = spark.sparkContext.broadcast(model)  # a few MB, fixed by BUCKETS and DIMS
 
     def of(texts: list[str]) -> np.ndarray:
@@ -334,7 +334,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 if b.num_rows:
                     good = of([t or "" for t in b.column(at).to_pylist()]) >= threshold
                     yield b.filter(pa.array(good))
-        return df.mapInArrow(kept, df.schema)
+        return df.mapInArrow(U.sliced(kept), df.schema)
 
     def run(batches):
         for b in batches:
@@ -344,4 +344,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                     [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
                     names=["doc_id", "score", "predicted"])
 
-    return U.texts(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    return U.texts(df, id_col, text_col).mapInArrow(U.sliced(run), "doc_id long, score double, predicted int")

@@ -100,7 +100,7 @@ def log_ratio(pairs: dict[tuple[bool, int], int]) -> np.ndarray:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The table of log ratios, from pair counts over all rows: at most 2 * STATES^2 rows reach the driver."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
 
     def count(batches):
         secret, all_ = np.zeros(STATES * STATES, np.int64), np.zeros(STATES * STATES, np.int64)
@@ -116,7 +116,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.n
                     [pa.array(np.full(len(at), label)), pa.array(at.astype(np.int32)), pa.array(n[at])],
                     names=["secret", "pair", "n"])
 
-    rows = (U.texts(df, id_col, text_col).mapInArrow(count, "secret boolean, pair int, n long")
+    rows = (U.texts(df, id_col, text_col).mapInArrow(U.sliced(count), "secret boolean, pair int, n long")
             .groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect())
     return log_ratio({(r["secret"], r["pair"]): r["n"] for r in rows})
 
@@ -164,7 +164,7 @@ def joined(spans: list[Span]) -> str:
 def scan(df: DataFrame, ratio: np.ndarray | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for every row of ``df``."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
     ratio = train(df, id_col, text_col) if ratio is None else ratio
 
     def run(batches):
@@ -178,7 +178,7 @@ def scan(df: DataFrame, ratio: np.ndarray | None = None, threshold: float = THRE
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return U.texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+        U.sliced(run), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def blank(text: str, spans: list[Span], mark: str) -> str:
@@ -199,7 +199,7 @@ def blank(text: str, spans: list[Span], mark: str) -> str:
 def redact(df: DataFrame, ratio: np.ndarray | None = None, threshold: float = THRESHOLD, mark: str = "<secret>",
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the secrets in its text column replaced by ``mark``; other columns and null texts stay."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
     ratio = train(df, id_col, text_col) if ratio is None else ratio
     at = df.columns.index(text_col)
 
@@ -209,4 +209,4 @@ def redact(df: DataFrame, ratio: np.ndarray | None = None, threshold: float = TH
             new = [t if t is None else blank(t, find(t, ratio, threshold)[1], mark) for t in rows]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(U.sliced(run), df.schema)

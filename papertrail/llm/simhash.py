@@ -59,7 +59,7 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), text_hash for every row of ``df``."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
                                              names=["doc_id", "fp", "text_hash"])
 
     return (U.texts(df, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-            .mapInArrow(run, "doc_id long, fp long, text_hash long"))
+            .mapInArrow(U.sliced(run), "doc_id long, fp long, text_hash long"))
 
 
 def _distance(a: np.ndarray, v: np.uint64) -> np.ndarray:

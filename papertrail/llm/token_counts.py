@@ -78,7 +78,7 @@ def _counter(path: str, batch_bytes: int) -> LengthCounter:
 def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id",
                  text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of ``df``."""
-    U.prepare(df.sparkSession)
+    U.share(df.sparkSession)
 
     def run(batches):
         counter = _counter(tokenizer_path, batch_bytes)
@@ -97,4 +97,4 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return U.texts(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        U.sliced(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

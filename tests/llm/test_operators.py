@@ -427,9 +427,9 @@ def test_long_words_equal_the_library(spark):
     """Words without a boundary, cut into spans and joined at seams, of up to 200 KB."""
     import random
     import tiktoken
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    codec = bpe_codec.Codec(path, public_tokenizers.PATTERN)
-    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    path = P.path("byte_bpe_50k.tiktoken")
+    codec = bpe_codec.Codec(path, P.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(5)
     kinds = [lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n)),
              lambda n: b"a" * n, lambda n: (b"ab" * n)[:n], lambda n: b"-" * n + b"=" * 7, lambda n: b" " * n,
@@ -440,3 +440,17 @@ def test_long_words_equal_the_library(spark):
     for w in words:
         want = np.array(library._core_bpe.encode_single_piece(w), "<u4").tobytes()
         assert got[w] == (want, w)
+
+
+def test_the_session_stays_as_it_was(spark):
+    """No operator leaves a setting behind that other queries would run under."""
+    def settings():
+        return {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+
+    df = spark.createDataFrame([(i, f"one two {i % 3} three four five") for i in range(20)], "doc_id long, text string")
+    bm25.search(df.limit(1), df.limit(1)).count()  # the first call registers the shared folder
+    before = settings()
+    for made in (bm25.search(df, df.where("doc_id < 2")), suffix_dedup.repeats(df), ngram_lm.score(df, F.col("doc_id") > 3),
+                 cws.fingerprint_edits(df), simhash.near_duplicates(df)):
+        made.count()
+    assert settings() == before
