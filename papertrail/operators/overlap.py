@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertrail.operators.skew import HOT_ROWS, salted_join
+from papertrail.session import materialize
 
 
 def _parts(n: Column, hot_rows: int) -> Column:
@@ -73,18 +74,19 @@ def overlap_pairs(rows: DataFrame, elements: Column, least: int, group: str = "a
 # --- containment of token sets -------------------------------------------------------------------------------------
 
 def contained_names(names: DataFrame, group: str = "author_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(group, inner, outer) for all pairs of distinct names of a group with tokens(inner) a subset of tokens(outer), a name
-    and itself included.  ``names``: (group, name).  A name is looked up by its rarest token in the group."""
+    """(group, inner, outer) for all pairs of two different names of a group with tokens(inner) a subset of tokens(outer).
+    ``names``: (group, name).  A name is looked up by its rarest token in the group, if other names hold that too."""
     toks = names.withColumn("toks", F.array_distinct(F.split("name", " ")))
-    each = toks.select(group, "name", F.size("toks").alias("size"), F.explode("toks").alias("tok"))
+    each = toks.select(group, "name", F.explode("toks").alias("tok"))
     freq = each.groupBy(group, "tok").agg(F.count(F.lit(1)).alias("n"))
-    counted = each.join(freq, [group, "tok"])
-    rarest = counted.groupBy(group, "name").agg(F.min(F.struct("n", "tok")).alias("key"))
+    counted = each.join(freq.hint("merge"), [group, "tok"])
+    rarest = counted.groupBy(group, "name").agg(F.min(F.struct("n", "tok")).alias("key")).filter("key.n > 1")
     inner = rarest.select(group, F.col("name").alias("inner"), F.split("name", " ").alias("inner_toks"),
                           F.col("key.tok").alias("elem"), F.col("key.n").alias("n"), F.xxhash64("name").alias("src_seq"))
-    outer = counted.select(group, F.col("name").alias("outer"), F.split("name", " ").alias("outer_toks"),
-                           F.col("tok").alias("elem"), "n")
-    return (_meet(inner, outer, group, hot_rows).filter(F.size(F.array_except("inner_toks", "outer_toks")) == 0)
+    outer = counted.filter("n > 1").select(group, F.col("name").alias("outer"), F.split("name", " ").alias("outer_toks"),
+                                           F.col("tok").alias("elem"), "n")
+    return (_meet(inner, outer, group, hot_rows)
+            .filter((F.col("inner") != F.col("outer")) & (F.size(F.array_except("inner_toks", "outer_toks")) == 0))
             .select(group, "inner", "outer"))
 
 
@@ -108,34 +110,40 @@ def subset_pairs(rows: DataFrame, names: Column, least: int, group: str = "autho
     """(group, src_seq, src, dst_seq, dst, shared): for ordered pairs of rows the number of (i, j) positions with the tokens
     of src's i-th name among those of dst's j-th, where it is ``least`` or more.
 
-    Containment is settled once for distinct names.  A row then offers the names it holds, and covers the names contained in
-    its own, each with a multiplicity.  Prefix filter: of a row's names, from frequent to rare, those may go unindexed
-    whose multiplicities times the most that any row covers them with add up to less than ``least``."""
-    held = (rows.select(group, "seq", "paper_id", F.filter(names, lambda x: x.isNotNull()).alias("all"))
-            .select(group, "seq", "paper_id", "all", F.explode(F.array_distinct("all")).alias("name")))
-    held = held.select(group, "seq", "paper_id", "name",
-                       F.size(F.filter("all", lambda x: x == F.col("name"))).alias("times"))
-    within = contained_names(held.select(group, "name").distinct(), group, hot_rows)
-    cover = (salted_join(held.withColumnRenamed("name", "outer"), within, [group, "outer"], ["seq"], hot_rows)
-             .groupBy(group, "seq", "paper_id", F.col("inner").alias("elem")).agg(F.sum("times").alias("m")))
-    stats = cover.groupBy(group, "elem").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("most"))
+    Containment is settled once for distinct names.  A row then offers the names it holds, and covers these and the names
+    contained in them, each with a multiplicity; names that one row alone covers meet nothing and are left out.  Prefix
+    filter: of a row's names, from frequent to rare, those may go unindexed whose multiplicities times the most that any row
+    covers them with add up to less than ``least``.
+
+    The names held and covered are written once, so that no plan repeats the steps before, and their joins are merged:
+    the files' sizes say little of what a broadcast table would take."""
+    row = [group, "seq", "paper_id"]
+    held = (rows.select(*row, F.filter(names, lambda x: x.isNotNull()).alias("all"))
+            .select(*row, "all", F.explode(F.array_distinct("all")).alias("name")))
+    held = materialize(held.select(*row, "name", F.size(F.filter("all", lambda x: x == F.col("name"))).alias("times")), "held")
+    within = materialize(contained_names(held.select(group, "name").distinct(), group, hot_rows), "within")
+    longer = salted_join(held.withColumnRenamed("name", "outer"), within, [group, "outer"], ["seq"], hot_rows)
+    cover = (held.select(*row, F.col("name").alias("elem"), "times")
+             .unionByName(longer.select(*row, F.col("inner").alias("elem"), "times"))
+             .groupBy(*row, "elem").agg(F.sum("times").alias("m")))
+    cover = materialize(cover, "cover")
+    stats = cover.groupBy(group, "elem").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("most")).filter("n > 1")
+    stats = materialize(stats, "stats").hint("merge")
     offered = (held.withColumnRenamed("name", "elem").join(stats, [group, "elem"])
-               .groupBy(group, "seq", "paper_id")
-               .agg(F.sort_array(F.collect_list(F.struct("n", "elem", "times", "most"))).alias("elems")))
+               .groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("n", "elem", "times", "most"))).alias("elems")))
     rest = F.transform("elems", lambda x, i: F.struct(x["n"].alias("n"), x["elem"].alias("elem"), F.aggregate(
         F.slice(F.col("elems"), i + 1, F.size("elems")), F.lit(0).cast("long"),
         lambda s, y: s + y["times"] * y["most"]).alias("rest")))
     src = (offered.select(group, F.col("seq").alias("src_seq"), F.col("paper_id").alias("src"), "elems",
                           F.inline(F.filter(rest, lambda x: x["rest"] >= least))).drop("rest"))
-    covers = cover.groupBy(group, "seq", "paper_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("elem", "m"))).alias("covers"))
-    dst = (covers.select(group, F.col("seq").alias("dst_seq"), F.col("paper_id").alias("dst"), "covers",
-                         F.explode(F.map_keys("covers")).alias("elem"))
-           .join(stats.select(group, "elem", "n"), [group, "elem"]))
+    covers = cover.join(stats, [group, "elem"]).groupBy(*row).agg(F.collect_list(F.struct("elem", "m", "n")).alias("all"))
+    dst = (covers.select(group, F.col("seq").alias("dst_seq"), F.col("paper_id").alias("dst"),
+                         F.map_from_entries(F.transform("all", lambda x: F.struct(x["elem"], x["m"]))).alias("covers"),
+                         F.inline("all")).drop("m"))
     common = F.filter("elems", lambda x: F.map_contains_key(F.col("covers"), x["elem"]))
     shared = F.aggregate("common", F.lit(0).cast("long"),
                          lambda s, x: s + x["times"] * F.element_at(F.col("covers"), x["elem"]))
-    return (_meet(src, dst, group, hot_rows).filter(F.col("src_seq") != F.col("dst_seq"))
+    return (_meet(src, dst.hint("merge"), group, hot_rows).filter(F.col("src_seq") != F.col("dst_seq"))
             .withColumn("common", common).filter(F.col("common")[0]["elem"] == F.col("elem"))
             .withColumn("shared", shared).filter(F.col("shared") >= least)
             .select(group, "shared", "src_seq", "src", "dst_seq", "dst"))
