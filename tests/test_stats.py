@@ -100,3 +100,16 @@ def test_poly_names(spark):
     df = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
     r = EX.poly2(df, ["a", "b"], keep=[]).first()
     assert (r["a^2"], r["a b"], r["b^2"]) == (4.0, 6.0, 9.0)
+
+
+def test_products_of_whole_numbers_are_not_rounded(spark):
+    from papertrail.operators import expand as EX
+    from papertrail.plans import q_stats
+    rows = [(1, 0, -1, 1 / 3), (2, 5, 2**40, 0.0000015), (3, None, -7, None), (4, 2**52 + 1, 3, -0.5), (5, 0, 0, float("nan"))]
+    df = spark.createDataFrame(rows, "id long, a long, b long, c double").coalesce(1)
+    cols = ["a", "b", "c"]
+    got = q_stats._rounded_products(df, cols, ["id"])
+    want = q_stats._round_all(EX.poly2(df, cols, keep=["id"]), {"id"})
+    assert got.columns == want.columns
+    assert [repr(r) for r in got.orderBy("id").collect()] == [repr(r) for r in want.orderBy("id").collect()]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("round(") == 3  # of c alone
