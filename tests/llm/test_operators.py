@@ -374,6 +374,36 @@ def test_search_matches_brute_force(df, empty, rows):
     assert bm25.search(empty, asked).count() == 0
 
 
+def test_search_writes_no_more_than_its_results(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 60) for _ in range(100)]
+    texts += [texts[7]] * 60  # ties across shards go by doc_id
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    asked = df.where("doc_id < 12")
+    key = ["query_id", "rank", "doc_id", "score"]
+    whole = sorted(tuple(r) for r in bm25.search(df, asked, top=5).select(key).collect())
+    written, waves = [], []
+    kept, dealt = bm25.materialize, bm25._waves
+
+    def materialize(made, name):
+        out = kept(made, name)
+        if name == "found":
+            written.append(out.groupBy("query_id").count().agg(F.max("count")).first()[0])
+        return out
+
+    def spread(table):
+        waves.extend(dealt(table))
+        return waves
+
+    monkeypatch.setattr(bm25, "CHUNK", 200)
+    monkeypatch.setattr(bm25, "materialize", materialize)
+    monkeypatch.setattr(bm25, "_waves", spread)
+    parted = sorted(tuple(r) for r in bm25.search(df, asked, top=5).select(key).collect())
+    assert [r[:3] for r in parted] == [r[:3] for r in whole] and len(parted) == 60
+    assert np.allclose([r[3] for r in parted], [r[3] for r in whole], rtol=1e-12)
+    assert max(written) == 5 and 3 <= len(waves) == len(written) <= 6
+
+
 def test_search_with_equal_chunks(spark, tmp_path):
     texts = ["red fox jumps", "red red dog", "blue fox", "green hill of red", ""]
     path = str(tmp_path / "docs")
