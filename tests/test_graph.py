@@ -203,3 +203,18 @@ def test_set_05_unites_all_four_edge_sets(spark, monkeypatch):
     monkeypatch.setattr(QG, "graph_input_table", lambda spark, sf: pp)
     assert {(r.src, r.dst, r.kind) for r in QG.set_05(spark, "").collect()} == {
         (1, 2, "org"), (2, 1, "org"), (3, 4, "venue"), (4, 3, "venue")}
+
+
+def test_salted_join_splits_hot_keys_before_they_travel(spark):
+    probe = spark.createDataFrame([(i, "hot" if i % 10 else f"k{i}") for i in range(500)] + [(900, None)], "id long, k string")
+    build = spark.createDataFrame([("hot", 1), ("hot", 2), ("k10", 3), ("none", 4), (None, 5)], "k string, v int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = salted_join(probe, build, ["k"], ["id"], hot_rows=20)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.id, r.k, r.v) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+    assert rows == sorted([(i, "hot", v) for i in range(500) if i % 10 for v in (1, 2)] + [(10, "k10", 3)])
