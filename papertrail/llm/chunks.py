@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,20 @@ def rows(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.BufferReader(blob)).read_all()
 
 
-def chunked(df: DataFrame, text_col: str, buckets: int, size_of: int = CHUNK) -> DataFrame:
-    """chunk, data: the rows of ``df`` in blobs of about ``size_of`` characters, bucketed by chunk in the shared
-    folder."""
+def stored(table: pa.Table) -> bytes:
+    """A table as the blob that :func:`rows` reads."""
+    sink = io.BytesIO()
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, table.schema, options=options) as w:
+        w.write_table(table)
+    return sink.getvalue()
+
+
+def chunked(df: DataFrame, text_col: str, buckets: int, size_of: int = CHUNK,
+            made: Callable[[pa.Table], list[bytes]] = lambda table: [stored(table)],
+            columns: tuple[str, ...] = ("data",)) -> DataFrame:
+    """chunk and ``columns``: the rows of ``df`` in blobs of about ``size_of`` characters, bucketed by chunk in the shared
+    folder; ``made`` gives a chunk's blobs, its rows unless told otherwise."""
     spark = df.sparkSession
     text_at = df.columns.index(text_col)
 
@@ -51,14 +62,10 @@ def chunked(df: DataFrame, text_col: str, buckets: int, size_of: int = CHUNK) ->
         held, size = [], 0
 
         def blob():
-            table = pa.Table.from_batches(held)
-            sink = io.BytesIO()
-            options = pa.ipc.IpcWriteOptions(compression="zstd")
-            with pa.ipc.new_stream(sink, table.schema, options=options) as w:
-                w.write_table(table)
-            data = sink.getvalue()
-            name = np.array([xxhash.xxh64_intdigest(data)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(name), pa.array([data], pa.binary())], names=["chunk", "data"])
+            blobs = made(pa.Table.from_batches(held))
+            name = np.array([xxhash.xxh64_intdigest(b"".join(blobs))], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(name), *[pa.array([x], pa.binary()) for x in blobs]],
+                                              names=["chunk", *columns])
 
         for b in batches:
             lengths = np.array([0 if t is None else len(t) for t in b.column(text_at).to_pylist()], np.int64)
@@ -75,7 +82,7 @@ def chunked(df: DataFrame, text_col: str, buckets: int, size_of: int = CHUNK) ->
             yield blob()
 
     name = f"papertrail_chunks_{uuid.uuid4().hex[:12]}"
-    chunks = df.mapInArrow(sliced(run), "chunk long, data binary")
+    chunks = df.mapInArrow(sliced(run), ", ".join(["chunk long", *[f"{c} binary" for c in columns]]))
     (chunks.write.format("parquet").option("compression", "none").option("path", scratch_path(spark, "chunks"))
      .bucketBy(buckets, "chunk").saveAsTable(name))
     return spark.table(name)

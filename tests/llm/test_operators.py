@@ -9,10 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from papertrail.llm import (bm25, bpe_codec, cws, ngram_lm, packing, quality, secret_scan, simhash, suffix_dedup,
+from papertrail.llm import (bm25, bpe_codec, chunks, cws, ngram_lm, packing, quality, secret_scan, simhash, suffix_dedup,
                             token_counts)
 
 PASSAGE = "the quick brown fox jumps over the lazy dog and runs far away from here to the hills"
@@ -121,6 +123,31 @@ def test_language_model_scores_match_brute_force(df, rows):
     assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(got, sorted(want), strict=True))
 
 
+def test_language_model_sends_numbers_of_words():
+    """What a chunk sends a shard comes back whole and takes far less than two 64-bit names an n-gram."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 300) % 4000) for _ in range(200)]
+    rows, words, tokens = ngram_lm.read_chunk(pa.table({"doc_id": range(200), "text": texts, "train": [i % 3 > 0 for i in range(200)]}))
+    held = chunks.unpacked(words)["word"]
+    shard, numbers = ngram_lm._shard(held, 4), np.arange(1, len(held) + 1)
+    answers = [chunks.packed(number=ngram_lm._planes(numbers[shard == k]), count=ngram_lm._planes(numbers[shard == k]))
+               for k in range(4)]
+    number = {w: n for w, n in zip(held.tolist(), numbers.tolist())}
+    each = [[*(number[xxhash.xxh64_intdigest(w)] for w in t.encode().split()), number[int(ngram_lm._END)]] for t in texts]
+    for n, g in enumerate(ngram_lm.Chunk(rows, words, tokens, answers, 3, 4).grams(), 2):
+        want = _counter()
+        for i, ws in enumerate(each):
+            for j, w in enumerate(ws):
+                want[(*([0] * n + ws[:j])[-n + 1:], w)] += i % 3 > 0
+        got, size = {}, 0
+        for _, blob in g.sent():
+            size += len(blob)
+            columns, sizes, word, count = g.received(blob)
+            got |= dict(zip(zip(*(np.repeat(c, sizes).tolist() for c in columns), word.tolist()), count.tolist()))
+        assert got == dict(want)
+        assert size < 7 * len(want)
+
+
 def test_elias_fano_slices():
     r = np.random.default_rng(0)
     for n in (1, 2, 700, 5000):
